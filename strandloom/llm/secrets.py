@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .automata import Automaton
@@ -84,9 +83,9 @@ def fit(scanned: DataFrame) -> tuple[list[Automaton], Automaton]:
     """Automata of the credential kinds that occur, and of ordinary words, from at most FIT distinct strings each."""
     labelled = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.value")
     plain = scanned.select(F.lit(-1).alias("kind"), F.col("word").alias("value"))
-    rank = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    rows = labelled.union(plain).where(F.col("value").isNotNull() & (F.length("value") <= FIT_LENGTH)).distinct()
-    kept = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT).orderBy("kind", "r").collect()
+    rows = materialize(labelled.union(plain).where(F.col("value").isNotNull() & (F.length("value") <= FIT_LENGTH)).distinct(), "labelled")
+    # one bounded sample a kind, each taken where the rows are
+    kept = [r for k in (-1, 0, 1, 2) for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(FIT).collect()]
     by: dict[int, list[str]] = {}
     for r in kept:
         by.setdefault(r.kind, []).append(r.value)
