@@ -26,6 +26,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 TERMS = 20_000
 #: Lengths of the word beginnings that score words not kept themselves; results of look-ups a worker holds.
 STEMS, HELD = (8, 7, 6, 5, 4, 3), 300_000
+#: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
+FIT_DOCS = 30_000
 #: Prior weight besides half a count a term, the least |z| of a kept term, and the cost of any token.
 PRIOR, LEAST_Z, COST = 500.0, 3.0, 0.4
 
@@ -164,17 +166,19 @@ def _logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[floa
     return float(max(a[0], 1e-3)), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, terms: int = TERMS, prior: float = PRIOR, least_z: float = LEAST_Z, cost: float = COST) -> Model:
-    """Model from all labelled documents outside the held-out third.
+def fit(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, terms: int = TERMS, prior: float = PRIOR, least_z: float = LEAST_Z, cost: float = COST) -> Model:
+    """Model from labelled documents outside the held-out third.
 
-    Counts over the whole labelled corpus are summed on the executors; only the `terms` tokens with
-    the largest |z|, and a histogram of the evidence, come to the driver. Labels other than 0 and 1,
+    At most fit_docs of them, a sample by hash, are used, so that their ids may be broadcast and texts
+    stay where they are. Their tokens are counted on the executors; only the `terms` terms with the
+    largest |z|, and a histogram of the evidence, come to the driver. Labels other than 0 and 1,
     and ids labelled both ways, are left out. Without both labels every score is 0.
     """
     tune_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & (id_remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").cast("long").alias("toxic"), F.max("toxic").alias("most"))
-    known = known.where("toxic = most").select("doc_id", "toxic")
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic"), "labelled")
+    known = known.where("toxic = most and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).select("doc_id", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    rows = materialize(rows, "labelled")
     counts = materialize(_counts(rows), "counts")
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nothing = Model(Scores({}), cost, 1.0, 0.0, 1.0, -30.0)
