@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language, mixing, packing, rans, secrets, simhash, toxicity
+from . import ann, chat, language, media, mixing, packing, rans, secrets, simhash, toxicity
 from .common import materialize, table
 
 
@@ -40,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
