@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -16,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 HELD = 600_000
 END = 1
 # Letters of the common Latin blocks, both cases, without the ordinal signs and the micro sign.
-_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 # A cut stands before white space and after a run of letters: no word of either pre-tokenizer spans one.
 _UNIT = re.compile(rf"[ \n\t\r]*[^ \n\t\r{_L}]*[{_L}]+|[ \n\t\r]*[^ \n\t\r{_L}]+|[ \n\t\r]+")
 # Anything else than these letters, ASCII and plain marks: it may be white space, a letter or a mark that
@@ -24,16 +27,71 @@ _UNIT = re.compile(rf"[ \n\t\r]*[^ \n\t\r{_L}]*[{_L}]+|[ \n\t\r]*[^ \n\t\r{_L}]+
 _ODD = re.compile(rf"[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6\u00b7\u00bb\u00bf\u00d7\u00f7{_L}\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]|<\|")
 
 
+# Words of a text of such characters, as the two pre-tokenizers part them.
+_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s0-9{_L}]+")
+_WORD_END = b"\xff"  # no byte of UTF-8
+
+
+def _bytes_of() -> dict[str, int]:
+    """Byte-level letters of the files: printable bytes stand for themselves, others for letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """Ranks by which merging any two neighbours whose joint is a token does what the file's merges do; None if it might not.
+
+    So it is if ids follow the order of merges and every token, taken apart, is last joined from the
+    two parts of its own merge: then no others of its parts can ever stand side by side.
+    """
+    suffix = model.get("end_of_word_suffix") or ""
+    if suffix not in ("", "</w>") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        return None
+    letters = _bytes_of()
+
+    def raw(token: str) -> bytes:
+        ended = suffix and token.endswith(suffix)
+        return bytes(letters[c] for c in (token[: -len(suffix)] if ended else token)) + (_WORD_END if ended else b"")
+
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    vocabulary = model["vocab"]
+    ids = [vocabulary[a + b] for a, b in merges]
+    joined = {a + b for a, b in merges}
+    base = [t for t in vocabulary if t not in joined and all(c in letters for c in t.removesuffix(suffix))]
+    if any(x >= y for x, y in zip(ids, ids[1:])) or max(vocabulary[t] for t in base if len(t.removesuffix(suffix)) == 1) >= ids[0]:
+        return None
+    ranks = {raw(t): vocabulary[t] for t in [*base, *joined] if raw(t) != _WORD_END or not suffix}
+    if suffix:
+        ranks[_WORD_END] = 1 << 30
+    for (a, b), rank in zip(merges, ids):
+        parts = [bytes([x]) for x in raw(a + b)]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], rank))
+            if ranks.get(parts[best] + parts[best + 1], rank) >= rank:
+                return None
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        if parts != [raw(a), raw(b)]:
+            return None
+    return ranks
+
+
 class Encoder:
     """Ids by the tokenizers library, without special tokens added.
 
     A text of common characters is encoded word by word, each distinct word once; any other is
-    encoded as a whole.
+    encoded as a whole. New words are merged by tiktoken where its rule provably does the same.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.ended = bool(model.get("end_of_word_suffix"))
+        ranks = _ranks(model)
+        self.merge = None if ranks is None else tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -41,6 +99,14 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.held) + len(words) > HELD:
             self.held = dict(islice(self.held.items(), len(self.held) // 2, None))
+        if self.merge is not None:
+            for u in words:
+                if self.ended:
+                    ids = [i for w in _BARE.findall(u.lower()) for i in self.merge(w.encode() + _WORD_END)]
+                else:
+                    ids = [i for w in _SPACED.findall(u) for i in self.merge(w.encode())]
+                self.held[u] = array("I", ids).tobytes()
+            return
         new = list(words)
         for i in range(0, len(new), 4096):
             self.held.update(zip(new[i : i + 4096], self._whole(new[i : i + 4096])))
