@@ -1,0 +1,15 @@
+"""Registered queries of the reference's operators, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from . import calls, sequences
+
+    return calls.QUERIES | sequences.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import calls, sequences
+
+    return calls.SQL | sequences.SQL
