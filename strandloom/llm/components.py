@@ -27,7 +27,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links of long ids -> (node, root), root the smallest id reachable; ids without links are absent.
+    """(a, b) links of long ids -> (node, root), root the smallest id reachable, roots themselves included; ids without links are absent.
 
     Each half round groups and joins by one endpoint and removes repeats; no component, however
     large, is gathered in one task. The rounds are logarithmic in a component's size.
@@ -43,4 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before, mark = small, mark, _mark(small)
         if mark == before:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    root = F.col("b").alias("root")
+    return edges.select(F.col("a").alias("node"), root).union(edges.select(F.col("b").alias("node"), root).distinct())
