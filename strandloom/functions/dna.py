@@ -16,6 +16,30 @@ IUPAC = {
 CPG, CHG, CHH, M6A = "[CpG]", "[CHG]", "[CHH]", "[m6A]"
 
 
+def cpg_skips(seq: Column) -> Column:
+    """C's between successive CpG sites, the first from the start: the letters that count, cut at the sites."""
+    marked = F.regexp_replace(F.replace(seq, F.lit("CG"), F.lit("X")), "[^CX]", "")
+    parts = F.split(marked, "X")
+    return F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
+
+
+def cpg_positions(seq: Column) -> Column:
+    """Positions of CpG sites: the lengths of what lies between them, added up."""
+    parts = F.split(seq, "CG")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def add(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p)
+        return F.struct((at + 2).alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, add)["all"]
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body's inner functions use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def revcomp(seq: Column) -> Column:
     """Reverse complement of a DNA string; any other letter gives N."""
     return F.translate(F.reverse(F.regexp_replace(seq, "[^ACGT]", "N")), "ACGT", "TGCA")
@@ -62,24 +86,42 @@ def cytosine_motif(context: Column) -> Column:
     )
 
 
-def context_at(seq: Column, i: Column, *, cpg: bool = True, chg: bool = True, chh: bool = True, m6a: bool = True) -> Column:
-    """Context token of the base at 0-based i, or null: at a read's end a C has none unless G follows."""
-    at = lambda k: F.substring(seq, (i + 1 + k).cast("int"), F.lit(1))
-    third = at(2)
+def context_of(x: Column, y: Column, z: Column, *, end: str = "", cpg: bool = True, chg: bool = True, chh: bool = True, m6a: bool = True) -> Column:
+    """Context token of a base and the two behind it (`end` past the end), or null: at a read's end a C has none unless G follows."""
     none = F.lit(None).cast("string")
-    told = F.when((at(0) == "A"), F.lit(M6A) if m6a else none)
-    told = told.when((at(0) == "C") & (at(1) == "G"), F.lit(CPG) if cpg else none)
-    told = told.when((at(0) == "C") & (third == "G"), F.lit(CHG) if chg else none)
-    return told.when((at(0) == "C") & (third != "") & (at(1) != ""), F.lit(CHH) if chh else none)
+    c = x == "C"
+    told = F.when(c & (y == "G"), F.lit(CPG) if cpg else none).when(c & (z == "G"), F.lit(CHG) if chg else none)
+    return told.when(c & (z != end), F.lit(CHH) if chh else none).when(x == "A", F.lit(M6A) if m6a else none)
+
+
+def context_at(seq: Column, i: Column, **flags: bool) -> Column:
+    """context_of() the base at 0-based i."""
+    return context_of(*[F.substring(seq, (i + 1 + k).cast("int"), F.lit(1)) for k in range(3)], **flags)
+
+
+def contexts(seq: Column, **flags: bool) -> Column:
+    """(pos, base, methy_type) of every base, in one pass: each is seen with the two behind it."""
+    at = lambda k: F.split(F.substring(F.concat(seq, F.lit("  ")), k, 1 << 30), "")
+    triples = F.arrays_zip(at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
+
+    def told(t: Column, i: Column) -> Column:
+        y, z = (F.coalesce(t[k], F.lit(" ")) for k in "yz")
+        return F.struct(i.alias("pos"), t["x"].alias("base"), context_of(t["x"], y, z, end=" ", **flags).alias("methy_type"))
+
+    return F.filter(F.transform(triples, told), lambda t: t["base"] != " ")
+
+
+def sites(seq: Column, **flags: bool) -> Column:
+    """(pos, base, methy_type) of the bases that have a context."""
+    return F.filter(contexts(seq, **flags), lambda t: t["methy_type"].isNotNull())
 
 
 def positions(seq: Column, base: str) -> Column:
-    """0-based positions of a base, in either case, as an array."""
+    """0-based positions of a base, in either case, as an array; one pass over the letters."""
     if len(base) != 1:
         raise ValueError("base must be one letter")
-    i = F.sequence(F.lit(0), F.length(seq) - 1)
-    hits = F.filter(i, lambda k: F.substring(F.upper(seq), k + 1, F.lit(1)) == base.upper())
-    return F.when(F.length(seq) == 0, F.array().cast("array<int>")).otherwise(hits)
+    hits = F.transform(F.split(F.upper(seq), ""), lambda x, i: F.when(x == base.upper(), i))
+    return F.filter(hits, lambda i: i.isNotNull())
 
 
 def forward(seq: Column, is_reverse: Column) -> Column:

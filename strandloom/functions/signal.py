@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dna import let
+
 #: The model's vocabulary in order of its ids. Fixed values.
 VOCABULARY = ("[PAD]", "[START]", "[END]", "A", "G", "T", "C", "[CpG]", "[CHG]", "[CHH]", "+", "-", "[MASK]", "[m6A]", "[R10]", "[4khz]", "[5khz]")
 
@@ -68,9 +70,18 @@ def signal_index(lengths: Column, stride: int = 1) -> Column:
 
 
 def with_context_tokens(bases: Column, sites: Column) -> Column:
-    """Bases with each site's context token behind it. sites: array of (pos, token)."""
-    table = F.map_from_entries(sites)
-    return F.flatten(F.transform(bases, lambda b, i: F.when(F.map_contains_key(table, i), F.array(b, table[i])).otherwise(F.array(b))))
+    """Bases with each site's context token behind it. sites: array of (pos, token), positions ascending.
+
+    The bases are cut behind every site, so each is copied once.
+    """
+
+    def build(z: Column) -> Column:
+        last = F.concat(F.array(F.lit(-1)), F.transform(z["sites"], lambda s: s["pos"]))
+        parts = F.zip_with(z["sites"], F.slice(last, 1, F.size(z["sites"])), lambda s, b: F.concat(F.slice(z["bases"], b + 2, s["pos"] - b), F.array(s["token"])))
+        end = F.element_at(last, -1)
+        return F.flatten(F.concat(parts, F.array(F.slice(z["bases"], end + 2, F.size(z["bases"])))))
+
+    return let(F.struct(bases.alias("bases"), sites.alias("sites")), build)
 
 
 def token_position(pos: Column, sites: Column) -> Column:

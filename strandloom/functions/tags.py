@@ -29,6 +29,17 @@ def skips(ranks: Column) -> Column:
     return F.when(F.size(ranks) == 0, F.array().cast("array<int>")).otherwise(_ints(gaps))
 
 
+def ranks(skip_counts: Column) -> Column:
+    """Ranks of skip counts: each adds itself and one."""
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def add(acc: Column, n: Column) -> Column:
+        at = acc["at"] + 1 + n
+        return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+    return F.aggregate(skip_counts, start, add)["all"]
+
+
 def mm(ranks: Column, prefix: str = "C+m,") -> Column:
     """MM value of ascending base ranks."""
     return F.concat(F.lit(prefix), F.array_join(skips(ranks), ","), F.lit(";"))
@@ -55,13 +66,7 @@ def ranks_of(mm_value: Column, prefix: str = "C+m,") -> Column:
     key = prefix.rstrip(",")
     part = F.element_at(F.filter(F.split(mm_value, ";"), lambda p: p.startswith(key)), 1)
     cells = F.filter(F.split(F.regexp_replace(part, r"^[^,]*,?", ""), ","), lambda c: c != "")
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all"))
-
-    def add(acc: Column, c: Column) -> Column:
-        at = acc["at"] + 1 + c.cast("int")
-        return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
-
-    return F.coalesce(F.aggregate(cells, start, add)["all"], F.array().cast("array<int>"))
+    return F.coalesce(ranks(F.transform(cells, lambda c: c.cast("int"))), F.array().cast("array<int>"))
 
 
 def bisulfite_label(score: Column) -> Column:

@@ -36,10 +36,17 @@ def common_reads(a: DataFrame, b: DataFrame, *, k: int = 10_000) -> DataFrame:
     return a.select("query_name").intersect(b.select("query_name")).orderBy("query_name").limit(k)
 
 
-def base_ranks(seq: Column, base: str) -> Column:
-    """Map from the position of each such base to its rank among them."""
-    at = dna.positions(seq, base)
-    return F.map_from_arrays(at, F.transform(at, lambda x, i: i))
+def site_skips(seq: Column, base: str, at: Column) -> Column:
+    """Such bases between successive ascending positions `at`; null for a position that isn't on one.
+
+    Each stretch of the sequence is looked at once.
+    """
+
+    def build(z: Column) -> Column:
+        last = F.concat(F.array(F.lit(-1)), F.slice(z["at"], 1, F.greatest(F.size(z["at"]) - 1, F.lit(0))))
+        return F.zip_with(z["at"], F.slice(last, 1, F.size(z["at"])), lambda p, b: F.when(F.get(z["bases"], p) == base, F.size(F.filter(F.slice(z["bases"], b + 2, p - b - 1), lambda x: x == base))))
+
+    return dna.let(F.struct(F.split(F.upper(seq), "").alias("bases"), at.alias("at")), build)
 
 
 #: Reference- and query-consuming CIGAR operations. Fixed values.
@@ -110,10 +117,10 @@ def tagged(reads: DataFrame, packed: DataFrame, *, how: str = "inner") -> DataFr
     its base loses its row.
     """
     part = packed.join(reads.select(F.col("query_name").alias("read_id"), "seq"), "read_id")
-    ranks = F.when(F.col("base") == "A", base_ranks(F.col("seq"), "A")).otherwise(base_ranks(F.col("seq"), "C"))
-    part = part.withColumn("table", ranks).withColumn("ranks", F.transform("sites", lambda s: F.col("table")[s["read_pos"]]))
-    text = F.when(F.col("base") == "A", tags.mm(F.col("ranks"), "A+a,")).otherwise(tags.mm(F.col("ranks"), "C+m,"))
-    made = part.select("read_id", F.struct(F.when(F.col("base") == "A", 1).otherwise(0).alias("o"), text.alias("mm"), tags.ml(F.transform("sites", lambda s: s["prob"] * 100)).alias("ml")).alias("part"), F.exists("ranks", lambda r: r.isNull()).alias("bad"))
+    part = part.withColumn("at", F.transform("sites", lambda s: s["read_pos"]))
+    part = part.withColumn("skips", F.when(F.col("base") == "A", site_skips(F.col("seq"), "A", F.col("at"))).otherwise(site_skips(F.col("seq"), "C", F.col("at"))))
+    text = F.concat(F.when(F.col("base") == "A", "A+a,").otherwise("C+m,"), F.array_join("skips", ","), F.lit(";"))
+    made = part.select("read_id", F.struct(F.when(F.col("base") == "A", 1).otherwise(0).alias("o"), text.alias("mm"), tags.ml(F.transform("sites", lambda s: s["prob"] * 100)).alias("ml")).alias("part"), F.exists("skips", lambda x: x.isNull()).alias("bad"))
     joined = made.groupBy(F.col("read_id").alias("query_name")).agg(F.sort_array(F.collect_list("part")).alias("parts"), F.max("bad").alias("bad"))
     joined = joined.select("query_name", "bad", F.array_join(F.transform("parts", lambda p: p["mm"]), "").alias("mm"), F.flatten(F.transform("parts", lambda p: p["ml"])).alias("ml"))
     return reads.drop("mm", "ml").join(joined, "query_name", how).where(~F.coalesce("bad", F.lit(False))).drop("bad")

@@ -31,17 +31,16 @@ def revcomp(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", F.length("seq").alias("len"), F.md5(dna.revcomp(F.col("seq"))).alias("md5"))
 
 
-@query("with t as (select doc_id, regexp_replace(upper(coalesce(text,'')),'[^ACGTMKRYBVDHWSZN]','N','g') as s from documents) select doc_id, md5(reverse(translate(s,'ATCGMKRYBVDH','TAGCKMYRVBHD'))) as md5 from t")
+@query("with t as (select doc_id, regexp_replace(translate(coalesce(text,''),'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ'),'[^ACGTMKRYBVDHWSZN]','N','g') as s from documents) select doc_id, md5(reverse(translate(s,'ATCGMKRYBVDH','TAGCKMYRVBHD'))) as md5 from t")
 def revcomp_iupac(spark, sf_dir):
-    text = F.upper(F.coalesce("text", F.lit("")))
+    text = F.translate(F.coalesce("text", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(dna.revcomp_iupac(text)).alias("md5"))
 
 
 def _sites(spark, sf_dir):
     """Typed sites of all sequences: positions as an array, exploded."""
-    s = sequences(spark, sf_dir).where(F.length("seq") > 0)
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct(i.alias("pos"), dna.context_at(F.col("seq"), i).alias("methy_type"))), lambda x: x["methy_type"].isNotNull())
-    return s.select("doc_id", F.length("seq").alias("n"), F.explode(found).alias("s")).select("doc_id", "n", "s.pos", "s.methy_type")
+    s = sequences(spark, sf_dir).select("doc_id", F.length("seq").alias("n"), F.explode(dna.sites(F.col("seq"))).alias("s"))
+    return s.select("doc_id", "n", "s.pos", "s.methy_type")
 
 
 @query(f"with {_BASES}, t as (select doc_id, i-1 as pos, {_CONTEXT} as m from c) select doc_id, count(*) as n_sites, min(pos)::int as first_pos, max(pos)::int as last_pos, cast(sum(pos) as bigint) as pos_sum from t where m is not null group by 1")
@@ -66,10 +65,7 @@ _CPG = f"{_BASES}, k as (select doc_id, i, y, row_number() over (partition by do
 
 def _cpg(spark, sf_dir):
     """(doc_id, seq, ranks, scores) of each sequence's CpG sites: ranks from cumulated positions of C's, joins none."""
-    at = dna.positions(F.col("seq"), "C")
-    numbered = F.transform(at, lambda p, i: F.struct(p.alias("p"), i.alias("rank")))
-    ranks = F.transform(F.filter(numbered, lambda x: F.substring("seq", x["p"] + 2, F.lit(1)) == "G"), lambda x: x["rank"])
-    s = sequences(spark, sf_dir).select("doc_id", "seq", ranks.alias("ranks")).where(F.size("ranks") > 0)
+    s = sequences(spark, sf_dir).where(F.col("seq").contains("CG")).select("doc_id", "seq", tags.ranks(dna.cpg_skips(F.col("seq"))).alias("ranks"))
     return s.withColumn("scores", F.transform("ranks", lambda r: r * 7 % 101))
 
 
@@ -96,8 +92,7 @@ _MODBAM = f"with {_CPG}, p as (select doc_id, string_agg(cast(skip as varchar),
 def _modbam(spark, sf_dir, how):
     own = sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("query_name"), "seq")
     sites = _cpg(spark, sf_dir)
-    at = dna.positions(F.col("seq"), "C")
-    rows = sites.withColumn("at", at).select(F.col("doc_id").cast("string").alias("read_id"), F.explode(F.zip_with("ranks", "scores", lambda r, s: F.struct(F.get("at", r).alias("read_pos"), (s / 100).alias("prob")))).alias("x"))
+    rows = sites.select(F.col("doc_id").cast("string").alias("read_id"), F.explode(F.zip_with(dna.cpg_positions(F.col("seq")), "scores", lambda p, s: F.struct(p.alias("read_pos"), (s / 100).alias("prob")))).alias("x"))
     predictions = rows.select("read_id", F.lit("[CpG]").alias("methy_type"), "x.read_pos", "x.prob", F.lit(0).alias("patch_idx"), F.col("x.read_pos").alias("place"))
     made = reads.tagged(own, reads.packed_sites(predictions), how=how)
     return made.select(F.col("query_name").cast("long").alias("doc_id"), "mm", F.array_join(F.transform("ml", lambda x: x.cast("string")), ",").alias("ml_csv"))
@@ -132,9 +127,9 @@ def nucleosome_labels(spark, sf_dir):
 
 
 #: A move table of stride 4 from each vector: a base starts at 0 and at each positive component of the first 15.
-@query("""with m as (select vec_id, embedding, len(embedding) as n, unnest(range(15)) as k from embeddings), b as (select vec_id, n, k*4+2 as at from m where k=0 or embedding[k+1]>0),
- s as (select vec_id, row_number() over (partition by vec_id order by at) - 1 as base_idx, at, lead(at, 1, n) over (partition by vec_id order by at) as nx from b)
- select vec_id, cast(base_idx as int) as base_idx, cast(at as int) as start, cast(nx-at as int) as len from s""")
+@query("""with m as (select vec_id, embedding, len(embedding) as n, unnest(range(15)) as k from embeddings), b as (select vec_id, n, k*4+2 as bp from m where k=0 or embedding[k+1]>0),
+ s as (select vec_id, row_number() over (partition by vec_id order by bp) - 1 as base_idx, bp, lead(bp, 1, n) over (partition by vec_id order by bp) as nx from b)
+ select vec_id, cast(base_idx as int) as base_idx, cast(bp as int) as start, cast(nx-bp as int) as len from s""")
 def move_segments(spark, sf_dir):
     moves = F.concat(F.array(F.lit(4), F.lit(1)), F.transform(F.slice("signal", 2, 14), lambda x: (x > 0).cast("int")))
     bounds = signal.move_bounds(moves, signal.move_start(F.lit(2), F.lit(None).cast("int")), F.size("signal"))
@@ -162,7 +157,7 @@ def patch_chunks(spark, sf_dir):
  o as (select doc_id, case when pos<240 then 0 else least(cast(floor((pos-16)/cast(224 as double)) as int), greatest(cast(ceil((n-32)/cast(224 as double)) as int)-1,0)) end as patch_idx, pos from t)
  select doc_id, patch_idx, count(*) as n_sites, cast(sum(pos) as bigint) as pos_sum from o group by 1,2""")
 def patch_sites(spark, sf_dir):
-    s = _sites(spark, sf_dir).where(F.col("methy_type") == dna.CPG)
+    s = sequences(spark, sf_dir).select("doc_id", F.length("seq").alias("n"), F.explode(dna.cpg_positions(F.col("seq"))).alias("pos"))
     return s.groupBy("doc_id", patches.owner(F.col("pos"), F.col("n")).alias("patch_idx")).agg(F.count("*").alias("n_sites"), F.sum("pos").alias("pos_sum"))
 
 
@@ -177,7 +172,7 @@ def length_bins(spark, sf_dir):
  select doc_id, cast(count(*)+sum(case when site then 1 else 0 end) as int) as n_tokens, md5(string_agg(x||case when site then '[CpG]' else '' end, '' order by i)) as md5 from g group by 1""")
 def context_tokens(spark, sf_dir):
     s = sequences(spark, sf_dir).where(F.length("seq") > 0)
-    at = F.transform(F.filter(dna.positions(F.col("seq"), "C"), lambda p: F.substring("seq", p + 2, F.lit(1)) == "G"), lambda p: F.struct(p.alias("pos"), F.lit("[CpG]").alias("token")))
+    at = F.transform(dna.cpg_positions(F.col("seq")), lambda p: F.struct(p.alias("pos"), F.lit(dna.CPG).alias("token")))
     made = signal.with_context_tokens(F.split("seq", ""), at)
     return s.select("doc_id", made.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "")).alias("md5"))
 
