@@ -166,14 +166,16 @@ def _compare(radius: int, check_radius: int | None, split: bool):
 def links(classes: DataFrame, *, radius: int = 3, check_radius: int | None = None) -> DataFrame:
     """(node, fp, fp2) of distinct fingerprints -> (a, b): links that connect all nodes within the radius.
 
+    With check_radius both fingerprints are searched: one has to be within the radius, the other within check_radius.
     A bucket of more than BUCKET fingerprints agrees on some bits only; its rows are dealt anew by
     each of radius+1 parts of the bits still free, one of which any pair within the radius shares,
     until buckets are small or no bits are free. No pair is dropped, and no bucket is gathered.
     """
     table = F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius)])).alias("mask")
-    rows = classes.select("node", "fp", "fp2", table).select(
-        F.xxhash64("mask", F.expr("fp & mask")).alias("key"), "node", "fp", "fp2", F.expr("~mask").alias("free")
-    )
+    sides = classes.select("node", "fp", "fp2", F.lit(0).alias("side"))
+    if check_radius is not None:
+        sides = sides.union(classes.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), F.lit(1).alias("side")))
+    rows = sides.select("*", table).select(F.xxhash64("side", "mask", F.expr("fp & mask")).alias("key"), "node", "fp", "fp2", F.expr("~mask").alias("free"))
     tune_batches(classes.sparkSession, 1 << 14)
     found, level = None, 0
     while rows is not None:
@@ -211,8 +213,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
 
     docs needs doc_id and text; other columns are ignored. Fingerprints link at `radius` or fewer
-    differing bits and, with check_radius, only if second fingerprints of another seed differ in at
-    most that many. Equal fingerprints become one class first, so copies are linked without pairs.
+    differing bits. With check_radius there are two, under different seeds: either may be the one within
+    the radius, if the other differs in at most check_radius bits. Equal fingerprints become one class first, so copies are linked without pairs.
     Null or empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id stay
     rows; a null doc_id is never a component's id unless all are null (then it is null).
     """
