@@ -70,9 +70,13 @@ def aligned_pairs(cigar: Column, start: Column) -> Column:
 
 def reference_positions(pairs: Column, positions: Column, length: Column, is_reverse: Column) -> Column:
     """Reference position of each forward read position; -1 for insertions, clips and reads without pairs."""
-    known = F.filter(pairs, lambda p: p["q"].isNotNull() & p["r"].isNotNull())
-    table = F.map_from_entries(F.transform(known, lambda p: F.struct(dna.forward_position(p["q"], length, is_reverse).alias("k"), p["r"].alias("v"))))
-    return F.transform(positions, lambda x: F.coalesce(table[x], F.lit(-1).cast("long")))
+    # every query base occurs once and in order, so its place in this list is its position
+    by_query = F.transform(F.filter(pairs, lambda p: p["q"].isNotNull()), lambda p: p["r"])
+
+    def look(z: Column) -> Column:
+        return F.transform(z["at"], lambda x: F.coalesce(F.get(z["r"], dna.forward_position(x, z["n"], z["back"])), F.lit(-1).cast("long")))
+
+    return dna.let(F.struct(by_query.alias("r"), positions.alias("at"), length.alias("n"), is_reverse.alias("back")), look)
 
 
 def reanchored(pairs: Column) -> Column:
