@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a worker holds, at most; then it lets go of the older half.
-HELD = 600_000
+HELD = 300_000
 END = 1
 # Letters of the common Latin blocks, both cases, without the ordinal signs and the micro sign.
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"

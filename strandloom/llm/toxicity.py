@@ -25,7 +25,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Whole words and word beginnings that the model keeps at most: those with the largest z-scores in either direction.
 TERMS = 20_000
 #: Lengths of the word beginnings that score words not kept themselves; results of look-ups a worker holds.
-STEMS, HELD = (8, 7, 6, 5, 4, 3), 300_000
+STEMS, HELD = (8, 7, 6, 5, 4, 3), 100_000
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_DOCS = 30_000
 #: Prior weight besides half a count a term, the least |z| of a kept term, and the cost of any token.
