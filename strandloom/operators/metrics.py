@@ -63,8 +63,9 @@ def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
 def correlation(rows: DataFrame) -> DataFrame:
     """Of rows (truth, pred): number, Pearson's r and its square, Spearman's r, root mean square error."""
     ranked = average_ranks(average_ranks(rows.select("truth", "pred"), "truth", "_a"), "pred", "_b")
-    r = F.corr("truth", "pred")
-    return ranked.agg(F.count("*").alias("sites"), F.round(r, 4).alias("pearson"), F.round(r * r, 4).alias("rsquare"), F.round(F.corr("_a", "_b"), 4).alias("spearman"), F.round(F.sqrt(F.avg(F.pow(F.col("truth") - F.col("pred"), 2))), 4).alias("rmse"))
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  null, not an error, without variation
+    r = corr("truth", "pred")
+    return ranked.agg(F.count("*").alias("sites"), F.round(r, 4).alias("pearson"), F.round(r * r, 4).alias("rsquare"), F.round(corr("_a", "_b"), 4).alias("spearman"), F.round(F.sqrt(F.avg(F.pow(F.col("truth") - F.col("pred"), 2))), 4).alias("rmse"))
 
 
 def density(values: DataFrame, *, bandwidth: float = 2.0, low: float = 0.0, high: float = 500.0, points: int = 1000) -> DataFrame:
