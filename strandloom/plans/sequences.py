@@ -65,7 +65,8 @@ _CPG = f"{_BASES}, k as (select doc_id, i, y, row_number() over (partition by do
 
 def _cpg(spark, sf_dir):
     """(doc_id, seq, ranks, scores) of each sequence's CpG sites: ranks from cumulated positions of C's, joins none."""
-    s = sequences(spark, sf_dir).where(F.col("seq").contains("CG")).select("doc_id", "seq", tags.ranks(dna.cpg_skips(F.col("seq"))).alias("ranks"))
+    own = F.filter(F.array(tags.ranks(dna.cpg_skips(F.col("seq")))), lambda r: F.size(r) > 0)
+    s = sequences(spark, sf_dir).select("doc_id", "seq", F.explode(own).alias("ranks"))
     return s.withColumn("scores", F.transform("ranks", lambda r: r * 7 % 101))
 
 
