@@ -18,15 +18,25 @@ def usable_calls(calls: DataFrame, *, prob_cf: float = 0.0, contig: str | None =
     return kept.where(callable_call(F.col("prob_unmethylated"), F.col("prob_methylated"), prob_cf))
 
 
-def on_motif(calls: DataFrame, contigs: DataFrame, *, motif: str = "C", mloc: int = 0) -> DataFrame:
+def _with_genome(calls: DataFrame, contigs: DataFrame, before: int, length: int, size: int | None) -> tuple[DataFrame, Column]:
+    """Calls with the seq that holds their window, and their window in it."""
+    if size is None:
+        joined, at = calls.join(contigs, calls.chrom == contigs.contig), F.col("ref_pos")
+    else:
+        start = F.when(F.col("strand") == "-", F.col("ref_pos") - (length - before) + 1).otherwise(F.col("ref_pos") - before)
+        own = calls.withColumn("_chunk", F.floor(F.greatest(start, F.lit(0)) / size))
+        joined, at = own.join(contigs, (own.chrom == contigs.contig) & (F.col("_chunk") == contigs.chunk)), F.col("ref_pos") - F.col("_chunk") * size
+    return joined, dna.window(F.col("seq"), at, F.col("strand"), before, length)
+
+
+def on_motif(calls: DataFrame, contigs: DataFrame, *, motif: str = "C", mloc: int = 0, size: int | None = None) -> DataFrame:
     """Calls whose strand's genome window is one of the motif's sequences; calls on unknown contigs are dropped.
 
-    contigs may hold whole contigs or overlapping chunks; genomes of ordinary size are broadcast by
-    Spark's own size check, larger ones joined by a shuffle.
+    contigs holds whole contigs, or chunks of `size` bases that overlap by a motif's length or more;
+    genomes of ordinary size are broadcast by Spark's own size check, larger ones joined by a shuffle.
     """
-    wanted = dna.expand_motif(motif)
-    joined = calls.join(contigs, calls.chrom == contigs.contig)
-    return joined.where(dna.window(F.col("seq"), F.col("ref_pos"), F.col("strand"), mloc, len(motif)).isin(wanted)).drop("contig", "seq")
+    joined, window = _with_genome(calls, contigs, mloc, len(motif), size)
+    return joined.where(window.isin(dna.expand_motif(motif))).drop("contig", "seq", "chunk", "_chunk")
 
 
 def site_frequency(calls: DataFrame, *, prob_cf: float = 0.0, methyl_threshold: float = 0.5, order: str = "line_no", use_prob: bool = False) -> DataFrame:
@@ -65,11 +75,14 @@ def bedmethyl(sites: DataFrame, *, use_floor: bool = False) -> DataFrame:
     )
 
 
-def by_motif(calls: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Calls with the CG, CHG or CHH of their genome context as motif; contexts that are short or none of these are dropped."""
-    joined = calls.where(F.col("ref_pos") >= 0).join(contigs, calls.chrom == contigs.contig)
-    told = joined.withColumn("motif", dna.cytosine_motif(dna.window(F.col("seq"), F.col("ref_pos"), F.col("strand"), 0, 3)))
-    return told.where(F.col("motif").isNotNull()).drop("contig", "seq")
+def by_motif(calls: DataFrame, contigs: DataFrame, *, size: int | None = None) -> DataFrame:
+    """Calls with the CG, CHG or CHH of their genome context as motif; contexts that are short or none of these are dropped.
+
+    contigs and size are as for on_motif.
+    """
+    joined, window = _with_genome(calls.where(F.col("ref_pos") >= 0), contigs, 0, 3, size)
+    told = joined.withColumn("motif", dna.cytosine_motif(window))
+    return told.where(F.col("motif").isNotNull()).drop("contig", "seq", "chunk", "_chunk")
 
 
 def in_order(sites: DataFrame, *, first_seen: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..operators import filters, frequency, metrics, reads, sites
-from .views import ALIGNMENTS, CALLS, CONTIGS, TRUTH, alignments, calls, contigs, table, truth
+from .views import ALIGNMENTS, CALLS, CHUNK, CONTIGS, TRUTH, alignments, calls, contigs, table, truth
 
 QUERIES, SQL = {}, {}
 _SURE = "abs(cast(1000-pm as double)/1000 - cast(pm as double)/1000) >= 0.2"
@@ -198,14 +198,14 @@ _WINDOW = "case when strand='-' then case when ref_pos-2>=0 then reverse(transla
 @query(f"with {CALLS}, {CONTIGS}, w as (select chrom, {_WINDOW} as k from calls join contigs on chrom=contig) select chrom, count(*) as n from w where k in ('CAG','CCG','CTG','CAC','CAT','CAA','CCC','CCA','CCT','CTA','CTC','CTT') group by 1")
 def motif_filter(spark, sf_dir):
     """Calls in CHN contexts (N: any base)."""
-    return frequency.on_motif(calls(spark, sf_dir), contigs(spark, sf_dir), motif="CHN").groupBy("chrom").agg(F.count("*").alias("n"))
+    return frequency.on_motif(calls(spark, sf_dir), contigs(spark, sf_dir), motif="CHN", size=CHUNK).groupBy("chrom").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {CALLS}, {CONTIGS}, w as (select {_WINDOW} as k from calls join contigs on chrom=contig),
  m as (select case when substr(k,1,2)='CG' and length(k)=3 then 'CG' when regexp_matches(k,'^C[ACT]G$') then 'CHG' when regexp_matches(k,'^C[ACT][ACT]$') then 'CHH' end as motif from w)
  select motif, count(*) as n from m where motif is not null group by 1""")
 def split_by_motif(spark, sf_dir):
-    return frequency.by_motif(calls(spark, sf_dir), contigs(spark, sf_dir)).groupBy("motif").agg(F.count("*").alias("n"))
+    return frequency.by_motif(calls(spark, sf_dir), contigs(spark, sf_dir), size=CHUNK).groupBy("motif").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {CALLS}, t as (select case when label=-1 then 12 when label<=20 then 11 when label>=80 then 10 else 12 end as token, label from calls)

@@ -40,9 +40,16 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(seq)).alias("seq"))
 
 
+#: Bases of a chunk of contigs(), a multiple of the period.
+CHUNK = 900
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three contigs of one period each, long enough for all positions of calls, by rule."""
-    return spark.createDataFrame([(f"chr{c}", s * 4000) for c, s in (("A", "ACGCAGCTT"), ("N", "CCGTCAGAT"), ("R", "GCTTACGCA"))], "contig string, seq string")
+    """Three contigs of one period each in chunks with 18 bases of overlap, up to the largest position of calls."""
+    periods = spark.createDataFrame([("chrA", "ACGCAGCTT"), ("chrN", "CCGTCAGAT"), ("chrR", "GCTTACGCA")], "contig string, period string")
+    last = table(spark, sf_dir, "lineitem").agg(F.floor(F.coalesce(F.max("l_partkey"), F.lit(0)) / CHUNK).cast("long").alias("last"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("last", F.lit(0)))).alias("chunk")
+    return periods.crossJoin(last).select("contig", chunk, F.repeat("period", F.lit(CHUNK // 9 + 2)).alias("seq"))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_registry():
     assert set(plans.queries()) <= names and set(__spark_entry__.oracle_sql()) <= names
     if importlib.util.find_spec("strandloom.llm"):
         assert {f"op{i}_" for i in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
+
+
+def test_contigs_reach_all_calls(spark, tmp_path):
+    """Positions past 36,000, as the larger tables have them, keep their context."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_partkey >= 2")  # the start of a contig cuts windows
+    rows.write.parquet(f"{tmp_path}/near/lineitem.parquet")
+    far = rows.withColumn("l_partkey", (rows.l_partkey + 9 * 28_000).cast(rows.schema["l_partkey"].dataType))  # the same place in the period
+    far.write.parquet(f"{tmp_path}/far/lineitem.parquet")
+    for name in ("motif_filter", "split_by_motif"):
+        near, moved = (sorted(map(tuple, plans.queries()[name](spark, f"{tmp_path}/{d}").collect())) for d in ("near", "far"))
+        assert near and near == moved
