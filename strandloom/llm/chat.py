@@ -4,7 +4,8 @@ A template is any function from turns to a string. Prefixes of the turns are ren
 another; if an output starts with the one before, the rest is the new turn's span, and if not, the
 template rewrites history, which is reported. Where a turn's text lies in its span is found by
 rendering the turn with two marker texts. Long conversations are rendered in stretches of turns,
-each behind the last turn of the stretch before it.
+each behind the last turn of the stretch before it, if the template declares `last_turn_only`; all
+others get every prefix of the whole conversation.
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ def instruct(turns: Sequence[Turn]) -> str:
     return "".join(out)
 
 
+#: Declares that a turn's rendering depends on no more than the turn before; only such templates are rendered in stretches.
+instruct.last_turn_only = True
+
+
 def parse(formatted: str) -> list[Turn]:
     """The turns of what instruct() gave, or of a stretch of it."""
     at, out = len(BEGIN) if formatted.startswith(BEGIN) else 0, []
@@ -109,14 +114,16 @@ _SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 def format_chats(rows: DataFrame, *, template: Template = instruct, stretch: int = STRETCH) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, stretch, text, mask, rewrote.
 
-    One row per stretch of turns, in order to be joined without anything between; mask holds the
+    One row per stretch of turns, in order to be joined without anything between, or one per
+    conversation if the template doesn't declare `last_turn_only`, which takes time by the square of its
+    turns and holds it in one task. A template that declares it wrongly isn't found out. mask holds the
     assistant texts' places in the row's text, and rewrote tells whether the template changed
     earlier output. Other columns are ignored. Null texts and roles count as empty; a null conv_id is
     a conversation, a null turn comes first, and rows of equal turn are ordered by role and text.
     """
     tune_batches(rows.sparkSession)
     own = rows.select("conv_id", F.coalesce("turn", F.lit(-(1 << 40))).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("stretch", F.floor(F.col("turn") / stretch))
+    own = own.withColumn("stretch", F.floor(F.col("turn") / stretch) if getattr(template, "last_turn_only", False) else F.lit(0).cast("long"))
     row = F.struct("turn", "role", "text")
     held = materialize(own.groupBy("conv_id", "stretch").agg(F.sort_array(F.collect_list(row)).alias("turns")), "turns")
     order = W.partitionBy("conv_id").orderBy("stretch")

@@ -68,3 +68,19 @@ def test_conversations_come_back(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_templates_that_look_back_see_the_whole_conversation(spark):
+    def numbers_turns(turns):
+        return "".join(f"[{i:04}|{r}:{t}]" for i, (r, t) in enumerate(turns))
+
+    def shortens_old(turns):
+        return "".join(f"[{r}:{t if len(turns) - i <= 70 else t[:1]}]" for i, (r, t) in enumerate(turns))
+
+    rows = [(1, i, "user" if i % 2 else "assistant", f"text {i}") for i in range(130)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [r[2:] for r in rows]
+    got = chat.format_chats(df, template=shortens_old).collect()
+    assert any(r.rewrote for r in got)
+    got = chat.format_chats(df, template=numbers_turns).orderBy("stretch").collect()
+    assert "".join(r.text for r in got) == numbers_turns(turns)
