@@ -21,6 +21,10 @@ from .common import WORD, batch, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a block and blocks of a shard, about; both are expectations, not caps.
 BLOCK_DOCS, SHARD_BLOCKS = 256, 64
+#: Blocks in all, at most, as numpy's draws go up to 1e9: blocks of larger corpora hold more documents.
+BLOCKS = 400_000_000
+#: Sources whose facts are broadcast, at most; more are joined by a shuffle.
+BROADCAST = 100_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -63,37 +67,88 @@ def _mix(*columns: Column | str, seed: int) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
 
 
+#: Orders that fill() tries besides the one by falling size.
+TRIES = 64
+
+
+def fill(rows: Sequence[tuple[int, int]], room: int) -> list[int]:
+    """How many of each (size, copies) to take so that the sum ends near room.
+
+    Each order takes all that still fit, and one more if that ends nearer; the first nearest of some
+    beginnings of the given order, and of falling sizes, is kept.
+    """
+
+    def take(order: Sequence[int]) -> tuple[int, list[int]]:
+        out, left = [0] * len(rows), room
+        for i in order:
+            size, copies = rows[i]
+            out[i] = min(copies, left // size) if size else copies
+            left -= out[i] * size
+        rest = [i for i in order if out[i] < rows[i][1]]
+        if rest and rows[i := min(rest, key=lambda x: rows[x][0])][0] < 2 * left:
+            out[i] += 1
+            left -= rows[i][0]
+        return abs(left), out
+
+    n = len(rows)
+    falling = sorted(range(n), key=lambda i: -rows[i][0])
+    orders = [[*range(a, n), *range(a)] for a in range(0, n, max(1, n // TRIES))]
+    return min((take(o) for o in [*orders, falling]), key=lambda x: x[0])[1] if n else []
+
+
+def _edge_takes(edge: DataFrame) -> DataFrame:
+    """(sid, room, key, size) of the documents of each source's edge block -> (sid, key, size, takes); equal ones are one row with their number.
+
+    A group is one block of a source, about BLOCK_DOCS distinct documents.
+    """
+    schema = pa.schema([("sid", pa.int32()), ("key", pa.int64()), ("size", pa.int64()), ("takes", pa.int64())])
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("size", "ascending")])
+        size, copies = t["size"].to_pylist(), t["n"].to_pylist()
+        takes = fill(list(zip(size, copies)), t["room"][0].as_py()) if t.num_rows else []
+        return pa.Table.from_arrays([t["sid"], t["key"], t["size"], pa.chunked_array([pa.array(takes, pa.int64())])], schema=schema)
+
+    counted = edge.groupBy("sid", "room", "key", "size").agg(F.count("*").alias("n"))
+    return counted.groupBy("sid").applyInArrow(choose, "sid int, key long, size long, takes long")
+
+
 def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: Sequence[str] = ()) -> DataFrame:
     """Documents with their places in the mix.
 
     docs needs doc_id, text and source; of its other columns those in keep stay. Returns one row per document:
-    doc_id, source, size (words), source_size, target, and draws, an array of (shard, place, words)
-    with one entry for each time the document is taken; words below size means its first words
-    only, for the one document of a source at which the target is reached. Sources are ranked by
-    code point, null last, and get the weights in turn. The number of sources, not of documents,
-    is what the driver holds; numpy's
-    draws allow up to 1e9 blocks at a node. Null texts have size 0 and are taken with no words; documents of equal
-    id are in one block and ordered by size. No document is taken more than `most` times, rounded up.
+    doc_id, source, size (words), source_size, target, and draws, an array of (shard, place) with one
+    entry for each time the document is taken, always whole. A source's taken words come as near its
+    target as the documents of one of its blocks can fill what is left. Sources are ranked by code point,
+    null last, and get the weights in turn. The driver holds one row per source. Null texts have size 0;
+    equal rows are in one block, and as many of them are taken as the mix asks for. No document is taken
+    more than `most` times, rounded up.
     """
-    key = F.struct(F.col("source").isNull().alias("no"), "source")
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+    order_of = F.struct(F.col("source").isNull().alias("no"), "source")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), _mix("doc_id", "text", seed=seed).alias("key"), *keep)
     sized = materialize(full.drop(*keep), "sizes")
-    found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).orderBy(key).collect()
+    found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).orderBy(order_of).collect()
     goal = targets([r.words for r in found], [weights[i % len(weights)] for i in range(len(found))], share * sum(r.words for r in found), most)
+    block_docs = max(BLOCK_DOCS, int(most + 1) * sum(r.n for r in found) // BLOCKS)
     facts = docs.sparkSession.createDataFrame(
-        [(i, r.source, r.words, t, max(1, -(-r.n // BLOCK_DOCS)), int(t // r.words) if r.words else 0, int(t - t // r.words * r.words) if r.words else 0) for i, (r, t) in enumerate(zip(found, goal))],
+        [(i, r.source, r.words, t, max(1, -(-r.n // block_docs)), int(t // r.words) if r.words else 0, int(t - t // r.words * r.words) if r.words else 0) for i, (r, t) in enumerate(zip(found, goal))],
         "sid int, source string, source_size long, target double, blocks long, passes long, rest long",
     )
-    # one row per source: as small as what the driver has just held
+    facts = F.broadcast(facts) if len(found) <= BROADCAST else facts
     full = full if keep else sized
-    rows = full.join(F.broadcast(facts), full.source.eqNullSafe(facts.source)).drop(facts.source)
-    rows = rows.withColumn("block", F.pmod(_mix("doc_id", seed=seed), "blocks"))
+    rows = full.join(facts, full.source.eqNullSafe(facts.source)).drop(facts.source).withColumn("block", F.pmod("key", "blocks"))
 
-    # blocks in permuted order, with the words before each
-    order = W.partitionBy("sid").orderBy(_mix("sid", "block", seed=seed + 1), "block")
+    # blocks in permuted order with the words before each: sums inside bands of the order, and of whole bands before
     blocks = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    blocks = blocks.select("*", (F.row_number().over(order) - 1).alias("turn"), (F.sum("words").over(order) - F.col("words")).alias("before"), F.count("*").over(W.partitionBy("sid")).alias("filled"))
-    blocks = materialize(blocks, "blocks")
+    blocks = materialize(blocks.withColumn("h", _mix("sid", "block", seed=seed + 1)).withColumn("band", F.shiftright("h", 54)), "blocks")
+    band, source = W.partitionBy("sid").orderBy("band"), W.partitionBy("sid")  # a source has 1024 bands at most
+    bands = blocks.groupBy("sid", "band").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    bands = bands.select("sid", "band", (F.sum("n").over(band) - F.col("n")).alias("n0"), (F.sum("w").over(band) - F.col("w")).alias("w0"), F.sum("n").over(source).alias("filled"))
+    inside = W.partitionBy("sid", "band").orderBy("h", "block")
+    blocks = blocks.join(bands, ["sid", "band"])
+    blocks = blocks.select("sid", "block", "words", "rest", "passes", "filled", (F.row_number().over(inside) - 1 + F.col("n0")).alias("turn"), (F.sum("words").over(inside) - F.col("words") + F.col("w0")).alias("before"))
+    blocks = materialize(blocks, "ordered-blocks")
     use = blocks.groupBy("sid").agg(F.max("filled").alias("filled"), (F.max("passes") * F.max("filled") + F.sum((F.col("before") < F.col("rest")).cast("long"))).alias("quota")).orderBy("sid").collect()
     quotas, filled = [0] * len(found), [1] * len(found)
     for r in use:
@@ -120,35 +175,30 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1
     blocks = materialize(blocks.join(placed, ["sid", "turn"], "left").select("sid", "block", "before", "words", "held"), "placed-blocks")
     rows = rows.join(blocks.withColumnRenamed("words", "block_words"), ["sid", "block"])
 
-    # in the block where the rest ends, documents are taken in seeded order until it is reached
+    # the block where the rest of a target ends is taken in part
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("block_words") > F.col("rest"))
-    inside = W.partitionBy("sid", "block").orderBy(_mix("doc_id", seed=seed + 2), "doc_id", "size")
-    whole = rows.where(~edge).withColumn("last", F.when(F.col("before") < F.col("rest"), F.col("size")))
-    part = rows.where(edge).withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - (F.sum("size").over(inside) - F.col("size")))))
+    narrow = sized.join(facts, sized.source.eqNullSafe(facts.source)).drop(facts.source).withColumn("block", F.pmod("key", "blocks"))
+    ends = blocks.withColumnRenamed("words", "block_words").join(facts.select("sid", "rest"), "sid").where(edge).select("sid", "block", (F.col("rest") - F.col("before")).alias("room"))
+    takes = _edge_takes(narrow.join(ends, ["sid", "block"]).select("sid", "room", "key", "size"))
+    whole = rows.where(~edge).withColumn("extra", F.col("before") < F.col("rest"))
+    equal = W.partitionBy("sid", "key", "size").orderBy("doc_id")
+    part = rows.where(edge).withColumn("n", F.row_number().over(equal)).join(takes, ["sid", "key", "size"]).withColumn("extra", F.col("n") <= F.col("takes")).drop("n", "takes")
     rows = whole.unionByName(part)
 
     def draw(x: Column) -> Column:
-        words = F.when(x["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("last"))
-        return F.struct(x["shard"].alias("shard"), _mix("doc_id", "size", x["shard"], x["pass"], seed=seed + 3).alias("place"), words.alias("words"))
+        return F.struct(x["shard"].alias("shard"), _mix("key", "size", x["shard"], x["pass"], seed=seed + 3).alias("place"))
 
-    taken = F.filter(F.transform(F.coalesce("held", F.array().cast("array<struct<pass:bigint,shard:bigint>>")), draw), lambda x: (x["words"] > 0) | (x["words"] == F.col("size")))
+    none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
+    taken = F.transform(F.filter(F.coalesce("held", none), lambda x: (x["pass"] < F.col("passes")) | F.col("extra")), draw)
     return rows.select("doc_id", "source", "size", "source_size", "target", *keep, taken.alias("draws"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, source, n_chars) as often as the mix takes them, with shard and place.
-
-    A document taken in part keeps its first words, joined by single spaces, and n_chars follows.
-    """
-    rest = ("text", "lang", "n_chars")
-    one = mix(docs, keep=rest, **options).select("doc_id", "text", "lang", "source", "n_chars", "size", F.explode("draws").alias("d"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.col("d.words") < F.col("size")
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("d.words").cast("int")), " ")).otherwise(F.col("text"))
-    n_chars = F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast("long")
-    return one.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"), "d.shard", "d.place")
+    """The rows of docs (doc_id, text, lang, source, n_chars) as often as the mix takes them, with shard and place."""
+    one = mix(docs, keep=("text", "lang", "n_chars"), **options)
+    return one.select("doc_id", "text", "lang", "source", "n_chars", F.explode("draws").alias("d")).select("doc_id", "text", "lang", "source", "n_chars", "d.shard", "d.place")
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """Documents dealt to their shards, in a seeded random order within each."""
-    return mixed.repartition("shard").sortWithinPartitions("shard", "place")
+    return mixed.repartition("shard").sortWithinPartitions("shard", "place", "doc_id")

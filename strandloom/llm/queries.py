@@ -19,8 +19,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
-    words = F.aggregate(F.transform("draws", lambda d: d["words"]), F.lit(0).cast("long"), lambda a, b: a + b)
-    return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    draws = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["place"])), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), draws.alias("draws"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
