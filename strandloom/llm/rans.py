@@ -152,36 +152,34 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> None:
     """
     spark = docs.sparkSession
     tune_batches(spark)
-    end = np.array([END], "<u4")
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer, narrow=True)
+        kind, total = f"<u{own.size}", np.zeros(0, np.int64)
+        end = np.array([END], kind).tobytes()
         for b in batches:
-            made = [np.concatenate((np.frombuffer(x, "<u4"), end)) for x in encode(b.column("text").to_pylist())]
-            wide = [bool(x.max() > 0xFFFF) for x in made]
-            yield batch(schema, b.column("doc_id"), wide, [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(made, wide)])
+            ids = [x + end for x in own.encode(b.column("text").to_pylist())]
+            one = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            one[: len(total)] += total
+            total = one
+            yield batch(schema, b.column("doc_id"), [zlib.crc32(x) for x in ids], [own.size > 2] * len(ids), ids, [None] * len(ids))
+        there = np.flatnonzero(total)
+        if len(there):
+            yield batch(schema, [None], [None], [None], [None], [np.stack((there, total[there])).astype("<i8").tobytes()])
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, wide boolean, ids binary")
-    made = materialize(made, "ids")
+    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, h long, wide boolean, ids binary, counts binary"), "ids")
 
     def unpack(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(b.column("ids").to_pylist(), b.column("wide").to_pylist())]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                one = np.bincount(np.concatenate(unpack(b)))
-                if len(one) > len(total):
-                    one[: len(total)] += total
-                    total = one
-                else:
-                    total[: len(one)] += one
-        there = np.flatnonzero(total)
-        yield batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), there, total[there])
+            for x in b.column("counts").to_pylist():
+                yield batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), *np.frombuffer(x, "<i8").reshape(2, -1))
 
-    rows = made.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one for each id of the vocabulary
+    # one row for each task that encoded, then one for each id of the vocabulary
+    rows = made.where("counts is not null").select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -207,8 +205,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> None:
         if docs_:
             yield file()
 
-    keyed = made.withColumn("h", F.xxhash64("ids"))
-    dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    dealt = made.where("ids is not null").drop("counts").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "wide", "ids")
     dealt.mapInArrow(encode, "part long, seq long, n_docs long, n_tokens long, data binary").write.parquet(f"{folder}/files")
 
 

@@ -29,7 +29,8 @@ _ODD = re.compile(rf"[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00
 
 # Words of a text of such characters, as the two pre-tokenizers part them.
 _SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
-_BARE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s0-9{_L}]+")
+_LOW = _L.replace("A-Z", "")  # this one is for texts in lower case
+_BARE = re.compile(rf"[{_LOW}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LOW}]+")
 _WORD_END = b"\xff"  # no byte of UTF-8
 
 
@@ -78,15 +79,18 @@ def _ranks(model: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids by the tokenizers library, without special tokens added.
+    """Ids by the tokenizers library, without special tokens added, as little-endian unsigned integers of `size` bytes.
 
     A text of common characters is encoded word by word, each distinct word once; any other is
-    encoded as a whole. New words are merged by tiktoken where its rule provably does the same.
+    encoded as a whole. New words are merged by tiktoken where its rule provably does the same. size
+    is 4, or 2 if narrow ones are asked for and all ids fit.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, narrow: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {}
+        self.size = 2 if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._code = "H" if self.size == 2 else "I"
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ended = bool(model.get("end_of_word_suffix"))
@@ -94,32 +98,33 @@ class Encoder:
         self.merge = None if ranks is None else tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.size}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, text: str) -> list[str]:
+        """Parts of a text that are encoded apart: where words end with a mark and spaces don't count, the words themselves."""
+        return _BARE.findall(text.lower()) if self.ended and self.merge is not None else _UNIT.findall(text)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.held) + len(words) > HELD:
             self.held = dict(islice(self.held.items(), len(self.held) // 2, None))
         if self.merge is not None:
             for u in words:
-                if self.ended:
-                    ids = [i for w in _BARE.findall(u.lower()) for i in self.merge(w.encode() + _WORD_END)]
-                else:
-                    ids = [i for w in _SPACED.findall(u) for i in self.merge(w.encode())]
-                self.held[u] = array("I", ids).tobytes()
+                ids = self.merge(u.encode() + _WORD_END) if self.ended else [i for w in _SPACED.findall(u) for i in self.merge(w.encode())]
+                self.held[u] = array(self._code, ids).tobytes()
             return
         new = list(words)
         for i in range(0, len(new), 4096):
             self.held.update(zip(new[i : i + 4096], self._whole(new[i : i + 4096])))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text."""
         for t in texts:
             if not t:
                 yield b""
             elif _ODD.search(t):
                 yield self._whole([t])[0]
             else:
-                units = _UNIT.findall(t)
+                units = self._units(t)
                 ids = list(map(self.held.get, units))
                 if None in ids:
                     self._learn({u for u, x in zip(units, ids) if x is None})
@@ -127,11 +132,11 @@ class Encoder:
                 yield b"".join(ids)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, *, narrow: bool = False) -> Encoder:
     """One for each file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, narrow) not in _ENCODERS:
+        _ENCODERS[path, narrow] = Encoder(path, narrow)
+    return _ENCODERS[path, narrow]
