@@ -51,13 +51,13 @@ def main(argv: list[str] | None = None) -> None:
     o = _parser().parse_args(argv)
     spark = session()
     if o.command == "frequency":
-        calls = text.read_calls(spark, o.input_path, file_uid=o.file_uid)
+        calls = text.read_mod_records(spark, o.input_path, file_uid=o.file_uid)
         if o.contigs:
             calls = calls.join(text.contig_names(spark, o.contigs), F.col("chrom") == F.col("contig"), "left_semi")
         if o.ref:
             calls = frequency.on_motif(calls, text.read_fasta(spark, o.ref), motif=o.motif, mloc=o.mloc_in_motif)
         found = frequency.site_frequency(calls, prob_cf=o.prob_cf, methyl_threshold=o.methyl_threshold, use_prob=o.use_prob)
-        found = frequency.in_order(found) if o.sort else found
+        found = frequency.in_order(found, by="place" if o.sort else "first_seen")
         lines = text.bed_lines(frequency.bedmethyl(found, use_floor=o.use_floor)) if o.bed else text.frequency_lines(found)
         text.write_lines(lines, o.result_file, gzip=o.gzip)
     elif o.command == "evaluate":

@@ -30,14 +30,9 @@ def skips(ranks: Column) -> Column:
 
 
 def ranks(skip_counts: Column) -> Column:
-    """Ranks of skip counts: each adds itself and one."""
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all"))
-
-    def add(acc: Column, n: Column) -> Column:
-        at = acc["at"] + 1 + n
-        return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
-
-    return F.aggregate(skip_counts, start, add)["all"]
+    """Ranks of skip counts: the places of marks that stand behind as many unmarked bases; linear in the bases passed."""
+    marks = F.flatten(F.transform(skip_counts, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
 
 
 def mm(ranks: Column, prefix: str = "C+m,") -> Column:

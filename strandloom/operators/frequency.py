@@ -42,14 +42,17 @@ def on_motif(calls: DataFrame, contigs: DataFrame, *, motif: str = "C", mloc: in
 def site_frequency(calls: DataFrame, *, prob_cf: float = 0.0, methyl_threshold: float = 0.5, order: str = "line_no", use_prob: bool = False) -> DataFrame:
     """One row per (chrom, ref_pos): probability sums, counts and rate; strand and kmer are the first call's.
 
-    Strand isn't part of the key. A hash aggregation with partial sums per task: one shuffle of at most
-    one row for each site and task, so a site with very many calls gathers nowhere.
+    Strand isn't part of the key. pos_in_strand is the first call's too, or -1 if calls don't tell it. Each task sums
+    its own calls before the one shuffle, so a site with very many calls gathers nowhere; first wins hold strings,
+    which makes that a sort aggregation, which spills.
     """
     met = F.col("prob_methylated") >= methyl_threshold
+    place = F.min_by("pos_in_strand", order) if "pos_in_strand" in calls.columns else F.lit(-1)
     out = usable_calls(calls, prob_cf=prob_cf).groupBy("chrom", F.col("ref_pos").alias("pos")).agg(
-        F.min_by("strand", order).alias("strand"), F.lit(-1).alias("pos_in_strand"),
+        F.min_by("strand", order).alias("strand"), place.alias("pos_in_strand"),
         F.sum("prob_unmethylated").alias("prob_0_sum"), F.sum("prob_methylated").alias("prob_1_sum"),
         F.count_if(met).alias("met"), F.count_if(~met).alias("unmet"), F.count("*").alias("coverage"), F.min_by("kmer", order).alias("kmer"),
+        F.min(order).alias("first_seen"),
     )
     rate = F.col("prob_1_sum") / F.col("coverage") if use_prob else F.col("met") / F.col("coverage")
     return out.withColumn("rmet", rate)
@@ -85,6 +88,6 @@ def by_motif(calls: DataFrame, contigs: DataFrame, *, size: int | None = None) -
     return told.where(F.col("motif").isNotNull()).drop("contig", "seq", "chunk", "_chunk")
 
 
-def in_order(sites: DataFrame, *, first_seen: str | None = None) -> DataFrame:
-    """By contig name and position, or by where each site was first seen."""
-    return sites.orderBy(first_seen) if first_seen else sites.orderBy("chrom", "pos")
+def in_order(sites: DataFrame, *, by: str = "place") -> DataFrame:
+    """By contig name and position, or, by='first_seen', by each site's first call."""
+    return sites.orderBy("first_seen") if by == "first_seen" else sites.orderBy("chrom", "pos")

@@ -51,14 +51,22 @@ def label_tags(reads: DataFrame, labels: DataFrame, *, kind: str = "m", least: i
     base, _, _ = tags.mod_config(kind)
     own = labelable(reads.drop("mm", "ml"), least=least)
     n = F.length("seq")
+    fwd = dna.forward(F.col("seq"), F.col("is_reverse"))
     pairs = F.filter(aligned_pairs(F.col("cigar"), F.col("reference_start")), lambda p: p["q"].isNotNull() & p["r"].isNotNull())
-    spread = own.select("query_name", F.col("reference_name").alias("chrom"), dna.forward(F.col("seq"), F.col("is_reverse")).alias("fwd"), n.alias("n"), "is_reverse", F.explode(pairs).alias("p"))
-    spread = spread.select("query_name", "chrom", "fwd", dna.forward_position(F.col("p.q"), F.col("n"), F.col("is_reverse")).alias("at"), F.col("p.r").alias("pos")).where(F.substring("fwd", F.col("at") + 1, F.lit(1)) == base)
+
+    def on_base(z):
+        at = F.transform(z["pairs"], lambda p: F.struct(dna.forward_position(p["q"], z["n"], z["back"]).alias("at"), p["r"].alias("pos")))
+        return F.filter(at, lambda p: F.get(z["bases"], p["at"]) == base)
+
+    # only places leave the read, not its sequence, which is joined back to the places that have a label
+    found = dna.let(F.struct(pairs.alias("pairs"), F.split(fwd, "").alias("bases"), n.alias("n"), F.col("is_reverse").alias("back")), on_base)
+    spread = own.select("query_name", F.col("reference_name").alias("chrom"), F.explode(found).alias("p")).select("query_name", "chrom", "p.at", "p.pos")
     if "read_id" in labels.columns:
         joined = spread.join(labels.select(F.col("read_id").alias("query_name"), "chrom", "pos", F.col("label").alias("score")), ["query_name", "chrom", "pos"])
     else:
         joined = spread.join(labels.select("chrom", "pos", "score"), ["chrom", "pos"])
-    sites = joined.groupBy("query_name").agg(F.first("fwd").alias("fwd"), F.sort_array(F.collect_list(F.struct(F.col("at").alias("pos"), F.col("score").cast("double").alias("score")))).alias("sites"))
+    sites = joined.groupBy("query_name").agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("pos"), F.col("score").cast("double").alias("score")))).alias("sites"))
+    sites = sites.join(own.select("query_name", fwd.alias("fwd")), "query_name")
     return own.join(_written(sites, kind), "query_name")
 
 

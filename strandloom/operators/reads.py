@@ -54,18 +54,32 @@ _QUERY, _REF = (0, 1, 4, 7, 8), (0, 2, 3, 7, 8)
 
 
 def aligned_pairs(cigar: Column, start: Column) -> Column:
-    """(q, r) of every aligned, inserted, clipped or deleted base, in order; null where one side has none."""
-    zero = F.struct(F.lit(0).alias("q"), start.cast("long").alias("r"), F.array().cast("array<struct<q:int,r:bigint>>").alias("all"))
+    """(q, r) of every aligned, inserted, clipped or deleted base, in order; null where one side has none.
 
-    def add(acc: Column, c: Column) -> Column:
-        q, r = c["op"].isin(*_QUERY), c["op"].isin(*_REF)
-        steps = F.when(c["len"] > 0, F.sequence(F.lit(0), c["len"] - 1)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(steps, lambda i: F.struct(F.when(q, acc["q"] + i).alias("q"), F.when(r, acc["r"] + i).cast("long").alias("r")))
-        made = F.when(q | r, made).otherwise(F.array().cast("array<struct<q:int,r:bigint>>"))
-        n = c["len"]
-        return F.struct((acc["q"] + F.when(q, n).otherwise(0)).alias("q"), (acc["r"] + F.when(r, n).otherwise(0)).alias("r"), F.concat(acc["all"], made).alias("all"))
+    Bases that consume a side are numbered by their rank among these, and both sides are merged by a
+    sort on the base's place, so a read costs n log n however many operations it has.
+    """
+
+    def side(ops: Column, consuming: tuple[int, ...], told) -> Column:
+        at = F.filter(F.transform(ops, lambda o, i: F.when(o.isin(*consuming), i)), lambda i: i.isNotNull())
+        return F.transform(at, told)
+
+    def merged(ops: Column) -> Column:
+        none_q, none_r = F.lit(None).cast("int"), F.lit(None).cast("long")
+        query = side(ops, _QUERY, lambda i, j: F.struct(i.alias("i"), j.alias("q"), none_r.alias("r")))
+        ref = side(ops, _REF, lambda i, j: F.struct(i.alias("i"), none_q.alias("q"), (start + j).cast("long").alias("r")))
+        return F.array_sort(F.concat(query, ref))  # of one place, the row without q comes first
 
-    return F.aggregate(cigar, zero, add)["all"]
+    def paired(rows: Column) -> Column:
+        def told(x: Column, k: Column) -> Column:
+            after, before = F.get(rows, k + 1), F.get(rows, k - 1)
+            both = F.struct(after["q"].alias("q"), x["r"].alias("r"))
+            return F.when(after["i"] == x["i"], both).when(F.coalesce(before["i"] == x["i"], F.lit(False)), None).otherwise(F.struct(x["q"].alias("q"), x["r"].alias("r")))
+
+        return F.filter(F.transform(rows, told), lambda x: x.isNotNull())
+
+    ops = F.flatten(F.transform(cigar, lambda c: F.array_repeat(c["op"], c["len"])))
+    return dna.let(dna.let(ops, merged), paired)
 
 
 def reference_positions(pairs: Column, positions: Column, length: Column, is_reverse: Column) -> Column:
@@ -83,22 +97,32 @@ def reanchored(pairs: Column) -> Column:
     """Pairs by the bases of the re-anchored read: (ref_pos, q, extra), extra the inserted bases that join the one before.
 
     Clipped ends keep their own bases, deletions have no q, and insertions lie between the first
-    and the last reference base.
+    and the last reference base. Each base takes the pairs up to the next one, so pairs are passed once.
     """
-    empty = F.array().cast("array<struct<ref_pos:bigint,q:int,extra:array<int>>>")
-    n = F.size(pairs)
-    on = F.filter(F.transform(pairs, lambda p, i: F.when(p["r"].isNotNull(), i)), lambda i: i.isNotNull())
-    first, last = F.coalesce(F.element_at(on, 1), n), F.coalesce(F.element_at(on, -1), n)
-    numbered = F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["q"].alias("q"), p["r"].alias("r")))
-
-    def add(acc: Column, p: Column) -> Column:
-        new = F.concat(acc, F.array(F.struct(p["r"].alias("ref_pos"), p["q"].alias("q"), F.array().cast("array<int>").alias("extra"))))
-        outside = (p["i"] < first) | (p["i"] > last)
-        tail = F.element_at(acc, -1)
-        merged = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(tail["ref_pos"].alias("ref_pos"), tail["q"].alias("q"), F.concat(tail["extra"], F.array(p["q"])).alias("extra"))))
-        return F.when(outside, F.when(p["q"].isNotNull(), new).otherwise(acc)).when(p["r"].isNotNull(), new).when(F.size(acc) > 0, merged).otherwise(acc)
-
-    return F.aggregate(numbered, empty, add)
+
+    def places(x: Column, wanted) -> Column:
+        return F.filter(F.transform(x, lambda p, i: F.when(wanted(p, i), i)), lambda i: i.isNotNull())
+
+    def ends(x: Column) -> Column:
+        on = places(x, lambda p, i: p["r"].isNotNull())
+        n = F.size(x)
+        return dna.let(on, lambda o: F.struct(x.alias("pairs"), F.coalesce(F.get(o, F.lit(0)), n).alias("first"), F.coalesce(F.get(o, F.size(o) - 1), n).alias("last")))
+
+    def starts(z: Column) -> Column:
+        outside = lambda i: (i < z["first"]) | (i > z["last"])
+        at = places(z["pairs"], lambda p, i: F.when(outside(i), p["q"].isNotNull()).otherwise(p["r"].isNotNull()))
+        return F.struct(z["pairs"].alias("pairs"), at.alias("at"))
+
+    def built(z: Column) -> Column:
+        def base(a: Column, k: Column) -> Column:
+            to = F.coalesce(F.get(z["at"], k + 1), F.size(z["pairs"]))
+            extra = F.transform(F.slice(z["pairs"], a + 2, to - a - 1), lambda p: p["q"])
+            own = F.get(z["pairs"], a)
+            return F.struct(own["r"].alias("ref_pos"), own["q"].alias("q"), F.filter(extra, lambda q: q.isNotNull()).alias("extra"))
+
+        return F.transform(z["at"], base)
+
+    return dna.let(dna.let(dna.let(pairs, ends), starts), built)
 
 
 def complete(patches: DataFrame) -> DataFrame:

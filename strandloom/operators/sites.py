@@ -50,7 +50,7 @@ def last_results(calls: DataFrame, *, order: str = "line_no") -> DataFrame:
 def per_read(calls: DataFrame, *, order: str = "line_no") -> DataFrame:
     """Reads' calls: positions ascending, the first of equal ones; start, end, number, positions and probabilities.
 
-    Repeats are removed by a hash aggregation before a read's calls are gathered, so a list is no longer than its read.
+    Repeats are removed before a read's calls are gathered, so a list is no longer than its read.
     """
     first = calls.groupBy("read_id", "read_pos").agg(F.min_by("prob_methylated", order).alias("p"))
     held = first.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct(F.col("read_pos").alias("loc"), "p"))).alias("c"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO = ("ACGT" * 7)[:26] + "AC" + ("ACGT" * 6)
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -37,7 +39,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as DNA: letters dealt to ACGT, all else dropped. Exploding one element keeps it from being computed again for every use."""
     seq = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _FROM, _TO), "[^ACGT]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(seq)).alias("seq"))
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return own.select("doc_id", F.explode(F.array(seq)).alias("seq"))
 
 
 #: Bases of a chunk of contigs(), a multiple of the period.

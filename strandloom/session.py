@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: ANSI casts, adaptive plans with skewed joins split, and one time zone.
 CONF = {
@@ -19,3 +19,9 @@ def session(name: str = "strandloom", **conf: str) -> SparkSession:
     for k, v in (CONF | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many tasks as there are cores: a scan of one row group is dealt out before costly expressions, a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

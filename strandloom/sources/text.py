@@ -8,10 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def place() -> Column:
+    """Where a row of a file source stands: file, then block of the file, then row of the block, as a struct that sorts.
+
+    Tasks hold blocks of several files in any order, but each block's rows in their own.
+    """
+    row = F.monotonically_increasing_id()
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row.alias("row"))
+
+
 def _lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Lines of plain or gzipped files in the order of files and lines, as line_no."""
+    """Lines of plain or gzipped files, line_no their order by file, then line."""
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
-    return reader.text(list(paths) if not isinstance(paths, str) else paths).select("value", F.monotonically_increasing_id().alias("line_no"))
+    return reader.text(list(paths) if not isinstance(paths, str) else paths).select("value", place().alias("line_no"))
 
 
 def parse_calls(lines: DataFrame) -> DataFrame:
@@ -39,10 +48,18 @@ def read_calls(spark: SparkSession, paths: str | Sequence[str], *, file_uid: str
 
 def parse_mod_records(lines: DataFrame) -> DataFrame:
     """Calls as the frequency tool reads them: the fourth column is the place in the strand ('.' is -1), and bad fields raise."""
-    cell = F.split("value", "\t")
-    rows = lines.where(F.trim("value") != "").withColumn("cell", cell)
-    place = F.when(F.col("cell")[3] == ".", "-1").otherwise(F.col("cell")[3])
-    return rows.select(F.col("cell")[0].alias("chrom"), F.col("cell")[1].cast("bigint").alias("ref_pos"), F.col("cell")[2].alias("strand"), place.cast("int").alias("pos_in_strand"), F.col("cell")[4].alias("read_id"), F.col("cell")[7].cast("double").alias("prob_unmethylated"), F.col("cell")[8].cast("double").alias("prob_methylated"), F.col("cell")[10].alias("kmer"))
+    rows = lines.where(F.trim("value") != "").withColumn("cell", F.split("value", "\t"))
+    get = lambda i: F.col("cell")[i]
+    place_in = F.when(get(3) == ".", "-1").otherwise(get(3))
+    return rows.select(
+        get(0).alias("chrom"), get(1).cast("bigint").alias("ref_pos"), get(2).alias("strand"), place_in.cast("int").alias("pos_in_strand"), get(4).alias("read_id"),
+        get(7).cast("double").alias("prob_unmethylated"), get(8).cast("double").alias("prob_methylated"), get(10).alias("kmer"), *(["line_no"] if "line_no" in lines.columns else []),
+    )
+
+
+def read_mod_records(spark: SparkSession, paths: str | Sequence[str], *, file_uid: str | None = None) -> DataFrame:
+    """parse_mod_records() of files or directories; file_uid keeps file names that contain it."""
+    return parse_mod_records(_lines(spark, paths, None if file_uid is None else f"*{file_uid}*"))
 
 
 def read_bed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -113,7 +130,9 @@ def read_slow5(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_fibres(spark: SparkSession, path: str, *, nrows: int = 10_000) -> DataFrame:
     """The first rows of a fibre table with a header; a leading '#' of a name is dropped."""
     raw = spark.read.csv(path, sep="\t", header=True)
-    return raw.toDF(*[c.lstrip("#") for c in raw.columns]).limit(nrows)
+    names = [c.lstrip("#") for c in raw.columns]
+    first = raw.select("*", place().alias("_place")).orderBy("_place").limit(nrows)
+    return first.drop("_place").toDF(*names)
 
 
 def _number(x: Column, digits: int) -> Column:

@@ -12,7 +12,7 @@ def test_commands(spark, tmp_path):
     src = str(tmp_path / "calls.tsv")
     cli.main(["frequency", "--input_path", src, "--result_file", str(tmp_path / "f"), "--sort"])
     lines = [x for f in sorted(glob.glob(f"{tmp_path}/f/part*")) for x in open(f).read().splitlines()]
-    assert lines[0].split("\t") == ["c", "0", "+", "-1", "2.600", "3.400", "4", "2", "6", "0.6667", "."]
+    assert lines[0].split("\t") == ["c", "0", "+", "50", "2.600", "3.400", "4", "2", "6", "0.6667", "."]
     cli.main(["frequency", "--input_path", src, "--result_file", str(tmp_path / "b"), "--bed", "--gzip", "--ref", str(tmp_path / "g.fa"), "--motif", "CG"])
     lines = [x for f in glob.glob(f"{tmp_path}/b/part*.gz") for x in gzip.open(f, "rt").read().splitlines()]
     assert [x.split("\t")[1::9] for x in lines] == [["0", "67"]]

@@ -5,6 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import frequency
 from strandloom.operators.scoring import binned, score
 from strandloom.sources import bam, text
 
@@ -67,3 +68,27 @@ def test_scoring(spark):
     got = {(r.read_id, r.patch_idx): r.probability for r in score(binned(p)).collect()}
     assert got["a", 0] == 0.5 and got["b", 0] == 0.5 and abs(got["a", 1] - 1 / (1 + 2.718281828459045 ** -4)) < 1e-9
     assert p.where(F.size("signals") > 5).count() == 0
+
+
+def test_lines_keep_the_order_of_files_and_blocks(spark, tmp_path):
+    """Spark packs files by falling size, so a small first file is read behind a large second one."""
+    call = lambda pos, place, kmer: f"c\t{pos}\t+\t{place}\tr\t1\t[CpG]\t0.1\t0.9\t1\t{kmer}\n"
+    (tmp_path / "a.tsv").write_text(call(5, 3, "first"))
+    (tmp_path / "b.tsv").write_text("".join(call(5, 4, "second") + call(6, ".", f"k{i}") for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = text.read_mod_records(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 2
+        sites = {r.pos: r for r in frequency.site_frequency(rows).collect()}
+        ordered = [r.kmer for r in rows.where("ref_pos = 6").orderBy("line_no").select("kmer").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (sites[5].kmer, sites[5].pos_in_strand, sites[6].kmer, sites[6].pos_in_strand) == ("first", 3, "k0", -1)
+    assert ordered == [f"k{i}" for i in range(2000)]
+    assert [r.pos for r in frequency.in_order(frequency.site_frequency(rows), by="first_seen").collect()] == [5, 6]
+
+
+def test_limited_calls_are_the_first_valid_ones(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("bad line\n" + "".join(f"c\t{i}\t+\t0\tr\t1\t[CpG]\t0.1\t0.9\t1\t.\n" for i in range(3)))
+    (tmp_path / "b.tsv").write_text("".join(f"c\t{100 + i}\t+\t0\tr\t1\t[CpG]\t0.1\t0.9\t1\t.\n" for i in range(500)))
+    assert [r.ref_pos for r in text.read_calls(spark, str(tmp_path), max_lines=4).orderBy("line_no").collect()] == [0, 1, 2, 100]
