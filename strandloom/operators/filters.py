@@ -73,3 +73,13 @@ def dense_enough(n: Column, last: Column, least: float) -> Column:
 
 def fully_decided(percentage: Column) -> Column:
     return percentage.isin(0, 100)
+
+
+def confident(mods: Column, *, least: int = 243) -> Column:
+    """Of (pos, score) modifications, those sure enough to be counted."""
+    return F.filter(mods, lambda m: m["score"] >= least)
+
+
+def matched(predictions: Column, bases: Column) -> Column:
+    """Reads with as many predictions as bases."""
+    return F.size(predictions) == F.size(bases)

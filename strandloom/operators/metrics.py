@@ -1,21 +1,26 @@
 """Classification, ranking and correlation metrics as aggregations and windows. What is undefined is null; counts always come.
 
-Curves are built from one row for each distinct score, whose running sums are taken over ranges:
-stretches of scores are summed apart and their totals added, so no task holds all scores.
+Curves and ranks are built from one row for each distinct value, whose running sums are taken over ranges:
+stretches of values are summed apart and their totals added, so no task holds all of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dna import CHG, CHH, CPG, M6A
+from ..functions.tags import MINUS, PLUS, softmax_probability
+from .ordering import running
+
 EPS = 1e-20
 
 
-def confusion(rows: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """Counts and rates of rows (y 0/1, score) at score > threshold."""
-    hit, true = F.col("score") > threshold, F.col("y") == 1
+def confusion(rows: DataFrame, *, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
+    """Counts and rates of rows (y 0/1, score) at score > threshold, or from it on if inclusive."""
+    hit, true = (F.col("score") >= threshold if inclusive else F.col("score") > threshold), F.col("y") == 1
     c = rows.agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count_if(~hit & ~true).alias("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     precision, recall = tp / (tp + fp + EPS), tp / (tp + fn + EPS)
@@ -23,19 +28,11 @@ def confusion(rows: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     return c.select("*", *[F.round(v, 4).alias(k) for k, v in rates.items()])
 
 
-def curve(rows: DataFrame, *, bands: int = 64) -> DataFrame:
-    """One row per distinct score, falling: true and false positives up to it, and all of both."""
+def curve(rows: DataFrame) -> DataFrame:
+    """One row per distinct score: true and false positives from the highest score to it, and all of both."""
     scores = rows.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    edges = F.col("score").cast("double")
-    low, high = rows.agg(F.min(edges), F.max(edges)).first()
-    span = (high - low) or 1.0 if low is not None else 1.0
-    scores = scores.withColumn("band", F.least(F.floor((edges - (low or 0.0)) / span * bands), F.lit(bands - 1)))
-    before = scores.groupBy("band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))  # at most `bands` rows
-    down = W.orderBy(F.col("band").desc())
-    before = before.select("band", (F.sum("bp").over(down) - F.col("bp")).alias("p0"), (F.sum("bn").over(down) - F.col("bn")).alias("n0"), F.sum("bp").over(W.partitionBy()).alias("all_p"), F.sum("bn").over(W.partitionBy()).alias("all_n"))
-    inside = W.partitionBy("band").orderBy(F.col("score").desc())
-    joined = scores.join(F.broadcast(before), "band")
-    return joined.select("band", "score", (F.sum("p").over(inside) + F.col("p0")).alias("tp"), (F.sum("n").over(inside) + F.col("n0")).alias("fp"), "p", "n", "all_p", "all_n")
+    totals = rows.agg(F.sum("y").alias("all_p"), F.sum(1 - F.col("y")).alias("all_n"))
+    return running(scores, "score", {"tp": "p", "fp": "n"}, descending=True).crossJoin(F.broadcast(totals))  # a single row
 
 
 def areas(rows: DataFrame) -> DataFrame:
@@ -47,16 +44,38 @@ def areas(rows: DataFrame) -> DataFrame:
     precision, earlier = tp / (tp + fp), F.when(before_tp + before_fp > 0, before_tp / (before_tp + before_fp)).otherwise(F.lit(1.0))
     pr = F.sum(p * (precision + earlier) / 2) / F.first("all_p")
     recall, false_rate = F.try_divide(tp, F.col("all_p")), F.try_divide(fp, F.col("all_n"))
-    best = lambda v: F.max_by("score", F.struct(v, F.col("score")))  # noqa: E731  of equal ones the highest threshold
+    # of equal ones the first met: falling scores on the one curve, rising ones on the other
+    youden, both_rates = F.max_by("score", F.struct(recall - false_rate, F.col("score"))), F.max_by("score", F.struct(precision + recall, -F.col("score")))
     both = (F.first("all_p") > 0) & (F.first("all_n") > 0)
-    out = c.agg(F.first("all_p").alias("positives"), F.first("all_n").alias("negatives"), F.when(both, F.round(roc, 4)).alias("roc_auc"), F.when(both, F.round(pr, 4)).alias("pr_auc"), best(recall - false_rate).alias("roc_threshold"), best(precision + recall).alias("pr_threshold"))
+    out = c.agg(F.first("all_p").alias("positives"), F.first("all_n").alias("negatives"), F.when(both, F.round(roc, 4)).alias("roc_auc"), F.when(both, F.round(pr, 4)).alias("pr_auc"), youden.alias("roc_threshold"), both_rates.alias("pr_threshold"))
     return out.select("positives", "negatives", "roc_auc", "pr_auc", F.when(F.col("roc_auc").isNotNull(), F.col("roc_threshold")).alias("roc_threshold"), F.when(F.col("roc_auc").isNotNull(), F.col("pr_threshold")).alias("pr_threshold"))
 
 
+def at_thresholds(rows: DataFrame) -> DataFrame:
+    """confusion() at both of areas()' thresholds: one row each, curve 'roc' or 'pr'; none for one class only."""
+    best = areas(rows).first()
+    made = [confusion(rows, threshold=t, inclusive=True).select(F.lit(c).alias("curve"), F.lit(float(t)).alias("threshold"), "*") for c, t in (("roc", best.roc_threshold), ("pr", best.pr_threshold)) if t is not None]
+    return made[0].unionByName(made[1]) if made else confusion(rows.limit(0)).select(F.lit("").alias("curve"), F.lit(0.0).alias("threshold"), "*").limit(0)
+
+
+def by_context(rows: DataFrame, *, contexts: tuple[str, ...] = (CPG, CHG, CHH, M6A)) -> DataFrame:
+    """confusion() and areas() of training rows (methy_type, minus, plus, label) in each context that occurs.
+
+    label is a token: plus or minus count, others are left out. Contexts are a fixed few, so each has its own aggregations.
+    """
+    y = (F.lit(MINUS) - F.col("label")).alias("y")
+    known = rows.where(F.col("label").isin(PLUS, MINUS)).select("methy_type", y, softmax_probability(F.col("minus"), F.col("plus")).alias("score"))
+    made = []
+    for c in contexts:
+        own = known.where(F.col("methy_type") == c)
+        made.append(confusion(own).crossJoin(areas(own)).select(F.lit(c).alias("methy_type"), "*"))  # two single rows
+    return reduce(DataFrame.unionByName, made).where(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") > 0)
+
+
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Rows with the average rank of a column: ranks of the distinct values, which is all that is ordered."""
     values = rows.groupBy(column).agg(F.count("*").alias("_k"))
-    ranked = values.select(column, (F.sum("_k").over(W.orderBy(column)) - (F.col("_k") - 1) / 2).alias(name))
+    ranked = running(values, column, {"_upto": "_k"}).select(column, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name))
     return rows.join(ranked, column)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import calls, sequences
+    from . import calls, features, sequences
 
-    return calls.QUERIES | sequences.QUERIES
+    return calls.QUERIES | sequences.QUERIES | features.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import calls, sequences
+    from . import calls, features, sequences
 
-    return calls.SQL | sequences.SQL
+    return calls.SQL | sequences.SQL | features.SQL

@@ -81,10 +81,11 @@ def ml_values(spark, sf_dir):
     return _cpg(spark, sf_dir).select("doc_id", csv(tags.ml(F.col("scores"))).alias("ml_csv"), csv(tags.ml_of_probabilities(F.transform("scores", lambda s: s / 100))).alias("alt_csv"))
 
 
-@query(f"with {_CPG} select doc_id, true as ok from g group by 1")
+@query(f"with {_CPG} select doc_id, string_agg(cast(rank as varchar), ',' order by i) as ranks_csv from g group by 1")
 def mm_roundtrip(spark, sf_dir):
-    made = _cpg(spark, sf_dir).select("doc_id", "ranks", tags.encode(F.col("ranks"), F.col("scores")).alias("t"))
-    return made.select("doc_id", (tags.ranks_of(F.col("t.mm")) == F.col("ranks")).alias("ok"))
+    """Ranks written as a tag and read again."""
+    made = _cpg(spark, sf_dir).select("doc_id", tags.encode(F.col("ranks"), F.col("scores")).alias("t"))
+    return made.select("doc_id", F.array_join(F.transform(tags.ranks_of(F.col("t.mm")), lambda r: r.cast("string")), ",").alias("ranks_csv"))
 
 
 _MODBAM = f"with {_CPG}, p as (select doc_id, string_agg(cast(skip as varchar), ',' order by i) as s, string_agg(cast(cast(round_even(score*255/cast(100 as double),0) as int) as varchar), ',' order by i) as ml from g group by 1)"
@@ -165,7 +166,7 @@ def patch_sites(spark, sf_dir):
 @query(f"with {SEQUENCES} select cast(floor(length(seq)/cast(500 as double)) as int) as bin, count(*) as n from reads where length(seq)>=50 and length(seq)<7500 group by 1")
 def length_bins(spark, sf_dir):
     n = F.length("seq")
-    return sequences(spark, sf_dir).where((n >= 50) & (n < 7500)).groupBy(patches.length_bin(n).alias("bin")).agg(F.count("*").alias("n"))
+    return sequences(spark, sf_dir).where(filters.patch_length(F.split("seq", ""))).groupBy(patches.length_bin(n).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {SEQUENCES}, t as (select doc_id, substr(seq,1,length(seq)) as seq, length(seq) as n from reads where length(seq)>0), b as (select doc_id, n, unnest(range(1, n+1)) as i, seq from t),

@@ -136,7 +136,8 @@ def read_fibres(spark: SparkSession, path: str, *, nrows: int = 10_000) -> DataF
 
 
 def _number(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """Digits behind the point, a tie going to the even one."""
+    return F.format_string(f"%.{digits}f", F.rint(x * 10**digits) / 10**digits)
 
 
 def call_lines(calls: DataFrame) -> DataFrame:
@@ -168,3 +169,12 @@ def write_by_motif(calls: DataFrame, path: str) -> None:
     call_lines(calls).sparkSession  # columns are checked before anything is written
     lines = calls.select("motif", F.concat_ws("\t", *[F.col(c).cast("string") for c in calls.columns if c not in ("motif", "line_no")]).alias("value"))
     lines.write.partitionBy("motif").text(path)
+
+
+def in_bed_order(bed: DataFrame) -> DataFrame:
+    return bed.orderBy("chrom", "start")
+
+
+def write_by_contig(lines: DataFrame, path: str) -> None:
+    """(chrom, value) lines in one directory for each contig; directories sort by contig's name."""
+    lines.write.partitionBy("chrom").text(path)
