@@ -6,6 +6,8 @@ import math
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+
 #: Character classes, the automata's alphabet. Fixed values.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 _CLASS = {c: i for i, cs in enumerate(CLASSES) for c in cs}
@@ -94,12 +96,43 @@ class Automaton:
         self.end = [self.end[s] for s in red]
         return self
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next states and log-probabilities by (state, class), and those of ending by state; unseen transitions restart at the root."""
+        k, width = self.smooth, len(CLASSES) + 1
+        to = np.zeros((len(self.next), width), np.int64)
+        step, end = np.zeros((len(self.next), width)), np.zeros(len(self.next))
+        for s in range(len(self.next)):
+            size = self._total(s) + k * (width + 1)
+            for c in range(width):
+                to[s, c] = self.next[s].get(c, 0)
+                step[s, c] = math.log((self.count[s].get(c, 0.0) + k) / size)
+            end[s] = math.log((self.end[s] + k) / size)
+        return to, step, end
+
     def log_likelihood(self, word: str) -> float:
-        """Log-probability of the word's classes, its end included; unseen transitions restart at the root."""
-        s, out, k = 0, 0.0, self.smooth
-        for ch in word:
-            c = _CLASS.get(ch, _OTHER)
-            size = self._total(s) + k * (len(CLASSES) + 2)
-            out += math.log((self.count[s].get(c, 0.0) + k) / size)
-            s = self.next[s].get(c, 0)
-        return out + math.log((self.end[s] + k) / (self._total(s) + k * (len(CLASSES) + 2)))
+        """Log-probability of the word's classes, its end included."""
+        return float(log_likelihoods(self.tables(), [word])[0])
+
+
+_CODES = np.full(128, _OTHER, np.int64)
+for _c, _i in _CLASS.items():
+    _CODES[ord(_c)] = _i
+
+
+def log_likelihoods(tables: tuple[np.ndarray, np.ndarray, np.ndarray], words: Sequence[str]) -> np.ndarray:
+    """log_likelihood() of many words, a character of all at a time, the longest first."""
+    to, step, end = tables
+    out = np.zeros(len(words))
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    size = np.array([len(words[i]) for i in order], np.int64)
+    flat = np.frombuffer("".join(words[i] for i in order).encode("latin-1", "replace"), np.uint8)
+    codes = _CODES[np.minimum(flat, 127)]
+    first = np.cumsum(size) - size
+    state, total = np.zeros(len(words), np.int64), np.zeros(len(words))
+    for k in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -k, "left"))  # words longer than k
+        c = codes[first[:n] + k]
+        total[:n] += step[state[:n], c]
+        state[:n] = to[state[:n], c]
+    out[order] = total + end[state]
+    return out
