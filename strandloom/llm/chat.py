@@ -3,7 +3,7 @@
 A template is any function from turns to a string. Prefixes of the turns are rendered one after
 another; if an output starts with the one before, the rest is the new turn's span, and if not, the
 template rewrites history, which is reported. Where a turn's text lies in its span is found by
-rendering the turn with two marker texts. Long conversations are rendered in stretches of turns,
+rendering the turn with marker texts. Long conversations are rendered in stretches of turns,
 each behind the last turn of the stretch before it, if the template declares `last_turn_only`; all
 others get every prefix of the whole conversation.
 """
@@ -74,38 +74,62 @@ def parse(formatted: str) -> list[Turn]:
     return out
 
 
-_A, _B = "\ue000", "\ue001"
+_A, _B = "\ue000\ue001\ue000", "\ue001\ue000\ue001"
+Span = tuple[int, int, int, int]
 
 
-def content_margins(template: Template, role: str) -> tuple[int, int, int]:
-    """Characters before a turn's text as the first turn and as a later one, and behind it."""
+def content_margins(template: Template, role: str) -> tuple[int, int, int] | None:
+    """Characters before a turn's text as the first turn and as a later one, and behind it; None if the template doesn't show it once, unchanged."""
     a, b, tail = (template(t) for t in ([(role, _A)], [(role, _B)], [(role, _A), (role, _A)]))
     tail = tail[len(a) :]
     if a.count(_A) != 1 or a.replace(_A, _B) != b or tail.count(_A) != 1:
-        raise ValueError("the template doesn't show the text of a turn once, unchanged")
-    return a.index(_A), tail.index(_A), len(a) - a.index(_A) - 1
+        return None
+    return a.index(_A), tail.index(_A), len(a) - a.index(_A) - len(_A)
 
 
-def render(turns: Sequence[Turn], template: Template, context: Sequence[Turn] = ()) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def located(turns: Sequence[Turn], i: int, template: Template, whole: str) -> tuple[int, int] | None:
+    """Where turn i's text lies in the rendering of all turns: what differs once a marker stands for it. None if that isn't one place."""
+    marked = template([*turns[:i], (turns[i][0], _A), *turns[i + 1 :]])
+    at = marked.find(_A)
+    behind = len(marked) - at - len(_A)
+    if marked.count(_A) != 1 or at + behind > len(whole) or whole[:at] != marked[:at] or whole[len(whole) - behind :] != marked[at + len(_A) :]:
+        return None
+    return at, len(whole) - behind
+
+
+def render(turns: Sequence[Turn], template: Template, context: Sequence[Turn] = ()) -> tuple[str, list[Span | None], bool]:
     """(output, for each turn its span and its text's place in the output, whether history was rewritten).
 
-    Successive prefixes are rendered behind the context; what the context renders to is left out. Where
-    a rendering doesn't go on from the one before, history was rewritten, and that turn's span is all of it.
+    Successive prefixes are rendered behind the context; what the context renders to is left out, and a
+    turn's span is what its prefix adds. Where a rendering doesn't go on from the one before, history was
+    rewritten: then all of it is given, context included, and every turn's text is looked for in the last
+    output by a marker, its span being its text. Turns whose text isn't shown once, unchanged, have no span.
     """
-    shown = template(context) if context else ""
-    base, spans, rewritten = len(shown), [], False
-    margins: dict[str, tuple[int, int, int]] = {}
+    base = shown = template(context) if context else ""
+    spans: list[Span | None] = []
+    margins: dict[str, tuple[int, int, int] | None] = {}
     for i, (role, _) in enumerate(turns):
         longer = template([*context, *turns[: i + 1]])
         if not longer.startswith(shown):
-            rewritten, shown = True, ""
+            return _rewritten(turns, template, context)
         if role not in margins:
             margins[role] = content_margins(template, role)
-        first, later, behind = margins[role]
-        start = len(shown)
-        spans.append((start - base, len(longer) - base, start + (later if start else first) - base, len(longer) - behind - base))
+        start = len(shown) - len(base)
+        if margins[role] is None:
+            place = located([*context, *turns[: i + 1]], len(context) + i, template, longer)
+            spans.append(place and (start, len(longer) - len(base), place[0] - len(base), place[1] - len(base)))
+        else:
+            first, later, behind = margins[role]
+            spans.append((start, len(longer) - len(base), start + (later if shown else first), len(longer) - behind - len(base)))
         shown = longer
-    return shown[base:], spans, rewritten
+    return shown[len(base) :], spans, False
+
+
+def _rewritten(turns: Sequence[Turn], template: Template, context: Sequence[Turn]) -> tuple[str, list[Span | None], bool]:
+    every = [*context, *turns]
+    whole = template(every)
+    places = [located(every, len(context) + i, template, whole) for i in range(len(turns))]
+    return whole, [p and (*p, *p) for p in places], True
 
 
 _SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -139,7 +163,7 @@ def format_chats(rows: DataFrame, *, template: Template = instruct, stretch: int
                 pairs = [(t["role"], t["text"]) for t in turns]
                 text, spans, rewrote = render(pairs, template, [(context["role"], context["text"])] if context else [])
                 texts.append(text)
-                masks.append([{"from": s, "to": e} for (role, _), (_, _, s, e) in zip(pairs, spans) if role == "assistant"])
+                masks.append([{"from": x[2], "to": x[3]} for (role, _), x in zip(pairs, spans) if role == "assistant" and x])
                 changed.append(rewrote)
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("stretch"), pa.array(texts, pa.string()), pa.array(masks, _SPANS), pa.array(changed, pa.bool_())], names=["conv_id", "stretch", "text", "mask", "rewrote"])
 

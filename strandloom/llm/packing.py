@@ -8,6 +8,8 @@ which the pieces are assigned by their rank in their class.
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import batch, materialize, tune_batches
 from .tokens import END, encoder
 
+log = logging.getLogger(__name__)
 LENGTH, GRAIN = 2048, 8
 #: Pieces of a class that are ranked together, about.
 RANKED = 20_000
@@ -33,42 +36,50 @@ class Pattern(NamedTuple):
 
 def _knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of sizes within room, by dynamic programming over the room."""
-    value, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    price = np.zeros(room + 1)  # of an item of each size; size 0 leaves one place empty
+    item = np.full(room + 1, -1)
+    price[sizes], item[sizes] = prices, np.arange(len(sizes))
+    price[1], item[1] = (price[1], item[1]) if item[1] >= 0 and price[1] > 0 else (0.0, -1)
+    price[(item < 0) & (np.arange(room + 1) > 1)] = -1.0
+    value, pick = np.zeros(room + 1), np.zeros(room + 1, np.int64)
     for c in range(1, room + 1):
-        fits = sizes <= c
-        if not fits.any():
-            continue
-        gain = np.where(fits, prices + value[np.maximum(c - sizes, 0)], -1.0)
-        i = int(gain.argmax())
-        if gain[i] > value[c - 1]:
-            value[c], pick[c] = gain[i], i
-        else:
-            value[c], pick[c] = value[c - 1], -1
+        gain = price[1 : c + 1] + value[c - 1 :: -1] if c > 1 else price[1:2]
+        pick[c] = int(gain.argmax()) + 1
+        value[c] = gain[pick[c] - 1]
     counts, c = np.zeros(len(sizes)), room
     while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[pick[c]] += 1
-            c -= int(sizes[pick[c]])
+        if item[pick[c]] >= 0:
+            counts[item[pick[c]]] += 1
+        c -= int(pick[c])
     return float(value[room]), counts
 
 
 def column_generation(demand: dict[int, int], room: int) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
-    """Patterns of an optimal basis, how often each is used (fractional), and the classes of their entries."""
+    """Patterns of a basis, how often each is used (fractional), and the classes of their entries.
+
+    It ends at the optimum, or as soon as rounding up its sum can't be improved: no solution needs
+    fewer than the sum over the best column's value.
+    """
     classes = sorted(k for k, n in demand.items() if n)
-    sizes = np.array(classes)
+    sizes = np.array(classes, np.int64)
     basis = [np.eye(len(classes))[i] * (room // s) for i, s in enumerate(classes)]
     inverse = np.diag([1.0 / (room // s) for s in classes]) if classes else np.zeros((0, 0))
     use = inverse @ np.array([demand[k] for k in classes], float)
-    for _ in range(50 * len(classes) + 50):
+    least, still = 0.0, 0
+    while classes:
         value, column = _knapsack(inverse.sum(0), sizes, room)
-        if value <= 1 + 1e-9:
+        total = float(use.sum())
+        least = max(least, total / max(value, 1.0))
+        if value <= 1 + 1e-9 or math.ceil(least - 1e-6) >= math.ceil(total - 1e-6):
             break
         step = inverse @ column
         rows = np.flatnonzero(step > 1e-9)
         out = int(rows[np.argmin(use[rows] / step[rows])])
         amount = use[out] / step[out]
+        still = 0 if amount > 1e-9 else still + 1
+        if still > 20 * len(classes):  # steps of no length only: a degenerate basis that goes round
+            log.warning("packing stops %.3g sequences above the least possible", total - least)
+            break
         use = np.maximum(use - amount * step, 0)
         use[out] = amount
         pivot = inverse[out] / step[out]

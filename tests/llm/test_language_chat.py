@@ -54,6 +54,19 @@ def test_rewritten_history_is_seen():
     assert not chat.render([("user", "hello"), ("user", "more")], drops_old_thoughts)[2]
 
 
+def test_texts_are_found_after_rewriting_and_unshown_ones_left_out():
+    def marks_last(turns):
+        return "".join(f"[{r}:{t}]" if i < len(turns) - 1 else f"[{r}>{t}]END" for i, (r, t) in enumerate(turns))
+
+    turns = [("user", "hello"), ("assistant", "thinking"), ("user", "hello"), ("assistant", "")]
+    text, spans, rewrote = chat.render(turns, marks_last)
+    assert rewrote and text == marks_last(turns) and [text[s:e] for _, _, s, e in spans] == [t for _, t in turns]
+    text, spans, rewrote = chat.render(turns, lambda own: "".join(f"[{r}:{t.strip()}]" if r == "user" else f"[{r}]" for r, t in own))
+    assert not rewrote and [x and text[x[2] : x[3]] for x in spans] == ["hello", None, "hello", None]
+    text, spans, _ = chat.render([("user", " a "), ("assistant", "b")], lambda own: "".join(f"[{t.strip()}]" for _, t in own))
+    assert text[spans[1][2] : spans[1][3]] == "b"
+
+
 def test_conversations_come_back(spark):
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["", None, "[INST] x", "said </s>", "é\\n"]), "x") for c in range(6) for t in range(rng.choice([1, 5, 300]))]
