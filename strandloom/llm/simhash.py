@@ -56,22 +56,19 @@ def fingerprint(text: bytes | None, width: int, seed: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, check: bool = False) -> DataFrame:
-    """(doc_id, fp, fp2): fp2 is a second fingerprint under another seed, or zero without check.
-
-    Repeated shingles count as often as they occur; a null text counts as empty.
-    """
+def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp). Repeated shingles count as often as they occur; a null text counts as empty."""
     tune_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            yield batch(schema, ids, [fingerprint(t, width, seed) for t in texts], [fingerprint(t, width, seed + 1) if check else 0 for t in texts])
+            yield batch(schema, ids, [fingerprint(t, width, seed) for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("free", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64())])
 
 
 def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
@@ -89,10 +86,8 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(radius: int, check_radius: int | None, split: bool):
-    def within(fp, fp2, x, y):
-        ok = np.bitwise_count(fp[x] ^ fp[y]) <= radius
-        return ok if check_radius is None else ok & (np.bitwise_count(fp2[x] ^ fp2[y]) <= check_radius)
+def _compare(radius: int):
+    """Rows (key, fp, free) sorted by key -> links (a, b) of fingerprints within the radius, and the rows of larger buckets as they came (a, key, free)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -100,43 +95,29 @@ def _compare(radius: int, check_radius: int | None, split: bool):
 
         def links(a, b) -> pa.RecordBatch:
             none = pa.nulls(len(a), pa.int64())
-            return batch(_LINKS, np.asarray(a, np.int64), np.asarray(b, np.int64), none, none, none, none)
+            return batch(_LINKS, np.asarray(a, np.int64), np.asarray(b, np.int64), none, none)
 
         def passed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            none = pa.nulls(t.num_rows, pa.int64())
-            yield from pa.table([t["node"], none, t["key"], t["fp"], t["fp2"], t["free"]], schema=_LINKS).to_batches()
+            yield from pa.table([t["fp"], pa.nulls(t.num_rows, pa.int64()), t["key"], t["free"]], schema=_LINKS).to_batches()
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, node, fp, fp2 = (t[c].to_numpy() for c in ("key", "node", "fp", "fp2"))
-            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+            key, node = t["key"].to_numpy(), t["fp"].to_numpy()
+            bits = node.view(np.uint64)
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             size, start = np.diff(cuts), cuts[:-1]
             two = start[size == 2]
-            two = two[within(fp, fp2, two, two + 1)]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
             yield links(node[two], node[two + 1])
             for s, n in zip(start[size > 2], size[size > 2]):
-                if split and n > BUCKET:
+                if n > BUCKET:
                     yield from passed(t.slice(s, n))
                     continue
-                f, g, v, out = fp[s : s + n], fp2[s : s + n], node[s : s + n], []
-                if n <= 2 * BUCKET:
-                    i = np.arange(n)
-                    out = _spanning(within(f, g, i[:, None], i[None]))
-                else:  # nothing left to split by: blocks against blocks, linked to the first near one
-                    for at in range(0, n, 512):
-                        i = np.arange(at, min(at + 512, n))
-                        for to in range(0, at + 1, 512):
-                            j = np.arange(to, min(to + 512, n))
-                            x, y = np.nonzero(within(f, g, i[:, None], j[None]))
-                            keep = i[x] > j[y]
-                            out += zip(i[x][keep].tolist(), j[y][keep].tolist())
+                f, v = bits[s : s + n], node[s : s + n]
+                out = _spanning(np.bitwise_count(f[:, None] ^ f[None]) <= radius)
                 if out:
                     x, y = np.array(out).T
                     yield links(v[x], v[y])
 
-        def over(t: pa.Table) -> bool:
-            return split and t.num_rows > BUCKET and t["key"][0] == t["key"][t.num_rows - 1]
-
         for b in batches:
             t = pa.Table.from_batches([*held, b])
             if hot is not None:  # rows are sorted by key: what is left of the hot bucket comes first
@@ -147,7 +128,7 @@ def _compare(radius: int, check_radius: int | None, split: bool):
                 if not t.num_rows:
                     held = []
                     continue
-            if over(t):
+            if t.num_rows > BUCKET and t["key"][0] == t["key"][t.num_rows - 1]:
                 hot = t["key"][0].as_py()
                 yield from passed(t)
                 held = []
@@ -163,36 +144,32 @@ def _compare(radius: int, check_radius: int | None, split: bool):
     return run
 
 
-def links(classes: DataFrame, *, radius: int = 3, check_radius: int | None = None) -> DataFrame:
-    """(node, fp, fp2) of distinct fingerprints -> (a, b): links that connect all nodes within the radius.
+def links(classes: DataFrame, *, radius: int = 3) -> DataFrame:
+    """Distinct fingerprints fp -> (a, b): links that connect all fingerprints within the radius.
 
-    With check_radius both fingerprints are searched: one has to be within the radius, the other within check_radius.
     A bucket of more than BUCKET fingerprints agrees on some bits only; its rows are dealt anew by
     each of radius+1 parts of the bits still free, one of which any pair within the radius shares,
-    until buckets are small or no bits are free. No pair is dropped, and no bucket is gathered.
+    until buckets are small. Distinct fingerprints differ in free bits, of which every round takes a
+    part, so this ends; no pair is dropped, and no bucket is gathered.
     """
     table = F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius)])).alias("mask")
-    sides = classes.select("node", "fp", "fp2", F.lit(0).alias("side"))
-    if check_radius is not None:
-        sides = sides.union(classes.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), F.lit(1).alias("side")))
-    rows = sides.select("*", table).select(F.xxhash64("side", "mask", F.expr("fp & mask")).alias("key"), "node", "fp", "fp2", F.expr("~mask").alias("free"))
+    rows = classes.select("fp", table).select(F.xxhash64("mask", F.expr("fp & mask")).alias("key"), "fp", F.expr("~mask").alias("free"))
     tune_batches(classes.sparkSession, 1 << 14)
     found, level = None, 0
     while rows is not None:
-        splits = level < 8
         dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
-        out = materialize(dealt.mapInArrow(_compare(radius, check_radius, splits), "a long, b long, key long, fp long, fp2 long, free long"), f"links-{level}")
+        out = materialize(dealt.mapInArrow(_compare(radius), "a long, b long, key long, free long"), f"links-{level}")
         part = out.where("b is not null").select("a", "b")
         found = part if found is None else found.union(part)
-        hot = out.where("b is null").select("key", F.col("a").alias("node"), "fp", "fp2", "free")
-        rows = _split(hot, radius + 1) if splits and not hot.isEmpty() else None
+        hot = out.where("b is null").select("key", F.col("a").alias("fp"), "free")
+        rows = _split(hot, radius + 1) if not hot.isEmpty() else None
         level += 1
     return found
 
 
 def _split(hot: DataFrame, parts: int) -> DataFrame:
     """Deal the rows of hot buckets by each of the parts of their free bits."""
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "node", "fp", "fp2", "free", "block")])
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "fp", "free", "block")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list[int]] = {}
@@ -202,28 +179,25 @@ def _split(hot: DataFrame, parts: int) -> DataFrame:
                 bits = [i for i in range(64) if (f & _FULL) >> i & 1]
                 blocks[f] = [_signed(sum(1 << i for i in bits[len(bits) * j // parts : len(bits) * (j + 1) // parts])) for j in range(parts)]
             for j in range(parts):
-                block = np.array([blocks[f][j] for f in free], np.int64)
-                yield batch(schema, b.column("key"), b.column("node"), b.column("fp"), b.column("fp2"), b.column("free"), block)
+                yield batch(schema, b.column("key"), b.column("fp"), b.column("free"), np.array([blocks[f][j] for f in free], np.int64))
 
-    dealt = hot.select("key", "node", "fp", "fp2", "free").mapInArrow(run, "key long, node long, fp long, fp2 long, free long, block long")
-    return dealt.select(F.xxhash64("key", "block", F.expr("fp & block")).alias("key"), "node", "fp", "fp2", F.expr("free & ~block").alias("free"))
+    dealt = hot.mapInArrow(run, "key long, fp long, free long, block long")
+    return dealt.select(F.xxhash64("key", "block", F.expr("fp & block")).alias("key"), "fp", F.expr("free & ~block").alias("free"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, check_radius: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
 
     docs needs doc_id and text; other columns are ignored. Fingerprints link at `radius` or fewer
-    differing bits. With check_radius there are two, under different seeds: either may be the one within
-    the radius, if the other differs in at most check_radius bits. Equal fingerprints become one class first, so copies are linked without pairs.
+    differing bits. Equal fingerprints become one class first, so copies are linked without pairs.
     Null or empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id stay
     rows; a null doc_id is never a component's id unless all are null (then it is null).
     """
-    made = materialize(fingerprints(docs, width=width, seed=seed, check=check_radius is not None), "fingerprints")
-    node = F.col("fp") if check_radius is None else F.xxhash64("fp", "fp2")
-    classes = materialize(made.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")).withColumn("node", node), "classes")
-    roots = components(links(classes, radius=radius, check_radius=check_radius))
-    labelled = classes.join(roots, "node")
+    made = materialize(fingerprints(docs, width=width, seed=seed), "fingerprints")
+    classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links(classes, radius=radius))
+    labelled = materialize(classes.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root"), "rooted")
     group = labelled.groupBy("root").agg(F.min("first").alias("least"))
-    linked = materialize(labelled.join(group, "root").select("node", "least"), "linked")
-    ids = classes.join(linked, "node", "left").select("fp", "fp2", F.coalesce("least", "first").alias("component_id"))
-    return made.join(materialize(ids, "classes-of"), ["fp", "fp2"]).select("doc_id", "fp", "component_id")
+    linked = labelled.join(group, "root").select("fp", "least")
+    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return made.join(materialize(ids, "classes-of"), "fp").select("doc_id", "fp", "component_id")

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -55,11 +56,26 @@ def test_hot_bucket_is_split_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
     base = 0x1234567890ABCDEF
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12)} | {base, ~base & (1 << 64) - 1})
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) * 2 + (0,) for f in fps], "node long, fp long, fp2 long")
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     roots = {r.node: r.root for r in components(simhash.links(df, radius=3)).collect()}
     assert len(roots) == len(fps) - 1 and len(set(roots.values())) == 1
 
 
+def test_dealt_rows_shrink_by_level(spark, monkeypatch):
+    """A hot bucket's rows are dealt four times a level, but every level leaves fewer of them hot."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    sizes, split = [], simhash._split
+    monkeypatch.setattr(simhash, "_split", lambda hot, parts: sizes.append(hot.count()) or split(hot, parts))
+    rng = random.Random(6)
+    fps = [rng.getrandbits(63) & ~0xFFFF for _ in range(20)]
+    fps += [fps[0] | rng.getrandbits(16) for _ in range(2000)]
+    roots = simhash.links(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), radius=3)
+    got = {r.node: r.root for r in components(roots).collect()}
+    want = groups([(f, f) for f in sorted(set(fps))], 3)
+    assert all(got.get(f, f) == want[i] for i, f in enumerate(sorted(set(fps))))
+    assert sizes[0] > 2000 and len(sizes) < 12 and sizes[-1] < sizes[0]
+
+
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
 
