@@ -1,4 +1,4 @@
-"""Text sources and sinks: call TSV, truth BED, FASTA, SAM, SLOW5 and fibre tables; bad rows fare as each format's rule has it."""
+"""Text sources and sinks: call TSV, truth BED, FASTA, SAM and fibre tables; bad rows fare as each format's rule has it."""
 
 from __future__ import annotations
 
@@ -118,15 +118,6 @@ def read_sam(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def read_slow5(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Signals of SLOW5 text: read_id, signal, cal_offset, cal_scale (range over digitisation)."""
-    from ..functions.signal import calibration_scale
-
-    rows = _lines(spark, paths).where(~F.col("value").rlike("^[#@]") & (F.col("value") != "")).withColumn("c", F.split("value", "\t"))
-    signal = F.transform(F.split(F.col("c")[7], ","), lambda x: x.cast("float"))
-    return rows.select(F.col("c")[0].alias("read_id"), signal.alias("signal"), F.col("c")[3].cast("double").alias("cal_offset"), calibration_scale(F.col("c")[4].cast("double"), F.col("c")[2].cast("double")).alias("cal_scale"))
-
-
 def read_fibres(spark: SparkSession, path: str, *, nrows: int = 10_000) -> DataFrame:
     """The first rows of a fibre table with a header; a leading '#' of a name is dropped."""
     raw = spark.read.csv(path, sep="\t", header=True)

@@ -9,36 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: In place of a read's number of patches: it has left.
+GONE = -1
 OUT = "read_id string, got int, expected int, complete boolean"
 
 
 def completed_reads(patches: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
     """(read_id, patch_idx, total_patches, ts) as a stream -> one row per read.
 
-    State is the set of indices seen, no larger than a read's patches. Repeats count once. A read that
-    is still incomplete once the watermark passes its last patch by `delay` leaves as incomplete.
+    State is the set of indices seen, no larger than a read's patches. Repeats count once, also after the
+    read has left: a mark of it stays until the watermark passes its last patch. A read that is still
+    incomplete once the watermark passes its last patch by `delay` leaves as incomplete.
     """
+    columns = ["read_id", "got", "expected", "complete"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, total, last = state.get if state.exists else ([], 0, 0)
         if state.hasTimedOut:
-            seen, total, _ = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], len(seen), total, False)], columns=["read_id", "got", "expected", "complete"])
+            yield pd.DataFrame([(key[0], len(seen), total, False)] if total != GONE else [], columns=columns)
             return
-        seen, total, last = state.get if state.exists else ([], 0, 0)
-        have = set(seen)
+        have, gone = set(seen), total == GONE
         for b in batches:
             have |= set(b.patch_idx.tolist())
             total = max(total, int(b.total_patches.max()))
             last = max(last, int(b.ts.max().timestamp() * 1000))
-        if len(have) >= total:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(key[0], len(have), total, True)], columns=["read_id", "got", "expected", "complete"])
-        else:
-            state.update((sorted(have), total, last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + 1)
-            yield pd.DataFrame(columns=["read_id", "got", "expected", "complete"])
+        done = not gone and len(have) >= total
+        state.update(([], GONE, last) if gone or done else (sorted(have), total, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + 1)
+        yield pd.DataFrame([(key[0], len(have), total, True)] if done else [], columns=columns)
 
     keyed = patches.withWatermark("ts", delay).select(F.col("read_id").cast("string"), F.col("patch_idx").cast("int"), F.col("total_patches").cast("int"), "ts")
     return keyed.groupBy("read_id").applyInPandasWithState(step, OUT, "seen array<int>, total int, last long", "append", GroupStateTimeout.EventTimeTimeout)

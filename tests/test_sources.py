@@ -3,11 +3,13 @@
 import gzip
 import struct
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from strandloom.operators import frequency
 from strandloom.operators.scoring import binned, score
-from strandloom.sources import bam, text
+from strandloom.sources import bam, signals, text
 
 
 def test_calls_drop_bad_rows(spark, tmp_path):
@@ -44,7 +46,7 @@ def test_sam_and_slow5(spark, tmp_path):
     assert (r.reference_start, r.is_reverse, r.ts, r.mv, r.ml, r.sm, r.tags_extra) == (10, True, 3, [5, 1, 0], [200], 0.5, {"XX": "y"})
     assert [(c.op, c.len) for c in r.cigar] == [(4, 2), (0, 3), (1, 1)]
     (tmp_path / "a.slow5").write_text("#slow5_version\t0.2.0\n@x\nread-1\t0\t8192\t3.0\t1467.6\t4000\t3\t1,2,3\n")
-    r = text.read_slow5(spark, str(tmp_path / "a.slow5")).first()
+    r = signals.read_slow5(spark, str(tmp_path / "a.slow5")).first()
     assert (r.read_id, r.signal, r.cal_offset, r.cal_scale) == ("read-1", [1.0, 2.0, 3.0], 3.0, 1467.6 / 8192)
 
 
@@ -92,3 +94,23 @@ def test_limited_calls_are_the_first_valid_ones(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("bad line\n" + "".join(f"c\t{i}\t+\t0\tr\t1\t[CpG]\t0.1\t0.9\t1\t.\n" for i in range(3)))
     (tmp_path / "b.tsv").write_text("".join(f"c\t{100 + i}\t+\t0\tr\t1\t[CpG]\t0.1\t0.9\t1\t.\n" for i in range(500)))
     assert [r.ref_pos for r in text.read_calls(spark, str(tmp_path), max_lines=4).orderBy("line_no").collect()] == [0, 1, 2, 100]
+
+
+def test_signal_paths_names_and_nested_ids(spark, tmp_path):
+    (tmp_path / "nested").mkdir()
+    for name in ("b.BLOW5", "a.pod5", "notes.txt", "nested/d.fast5"):
+        (tmp_path / name).write_text("")
+    (tmp_path / "nested/c.slow5").write_text("#slow5_version\t0.2.0\n#read_name\tdigitization\trange\traw_signal_pa\n@asic\tx\nread-1\t8.0\t4.0\t1,2\n")
+    assert [p.rsplit("/", 1)[1] for p in signals.signal_paths(spark, str(tmp_path))] == ["a.pod5", "b.BLOW5", "c.slow5"]
+    assert signals.signal_paths(spark, str(tmp_path), suffixes=("slow5",))[0].endswith("nested/c.slow5")
+    for bad, error in (("notes.txt", ValueError), ("a.pod5", NotImplementedError)):
+        with pytest.raises(error):
+            signals.read_signals(spark, str(tmp_path / bad))
+    with pytest.raises(FileNotFoundError):
+        signals.signal_paths(spark, str(tmp_path / "nested"), suffixes=("pod5",))
+    (tmp_path / "nested/e.slow5").write_text("read-2\t0\t8192\t3.0\t1467.6\t4000\t3\t1,2,3\n")
+    got = {r.read_id: r for r in signals.read_signals(spark, str(tmp_path / "nested")).collect()}
+    assert (got["read-1"].signal, got["read-1"].cal_offset, got["read-1"].cal_scale) == ([1.0, 2.0], 0.0, 0.5)
+    assert (got["read-2"].signal, got["read-2"].cal_offset, got["read-2"].cal_scale) == ([1.0, 2.0, 3.0], 3.0, 1467.6 / 8192)
+    ids = spark.createDataFrame([('[["read-1", "read-2"], 4000, [["x\\"y"]]]',)], "ids string")
+    assert ids.select(signals.flat_read_ids("ids")).first()[0] == ["read-1", "read-2", 'x"y']
