@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -127,5 +128,17 @@ def test_op10(spark, folder):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    df = queries.queries()[name](spark, folder)
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert told(tuple(r[c] for c in columns) for r in df.collect()) == told(want.fetchall())
+
+
 def test_every_query_is_here():
     assert {re.match(r"op\d+", n)[0] for n in queries.queries() if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)}
