@@ -30,10 +30,11 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--callmods_file", required=True)
     s.add_argument("--ref", required=True)
     s.add_argument("--out", required=True)
-    b = sub.add_parser("bed_to_tags", help="records tagged with site labels, as Parquet")
+    b = sub.add_parser("bed_to_tags", help="records tagged with site labels, as Parquet or BAM parts")
     b.add_argument("--bed_file_dir", nargs="+", required=True)
     b.add_argument("--sam_or_bam", required=True)
     b.add_argument("--out_folder", required=True)
+    b.add_argument("--out_format", choices=("parquet", "bam"), default="parquet")
     b.add_argument("--coverage_thres", type=int, default=5)
     b.add_argument("--mapq_thres", type=int, default=10)
     b.add_argument("--chr", default="|")
@@ -73,7 +74,11 @@ def main(argv: list[str] | None = None) -> None:
         merged = sites.merge_labels([sites.covered(text.read_bed(spark, p), least=o.coverage_thres, chrom=wanted) for p in o.bed_file_dir])
         reads = bam.typed(bam.read_bam(spark, o.sam_or_bam)) if o.sam_or_bam.endswith(".bam") else text.read_sam(spark, o.sam_or_bam)
         labels = merged.select("chrom", F.col("start").alias("pos"), F.col("percentage").alias("score"))
-        modbam.label_tags(reads, labels, least=o.mapq_thres).write.parquet(o.out_folder)
+        tagged = modbam.label_tags(reads, labels, least=o.mapq_thres)
+        if o.out_format == "bam":
+            bam.write_bam(tagged, o.out_folder, bam.contigs_of(o.sam_or_bam) if o.sam_or_bam.endswith(".bam") else text.sam_contigs(spark, o.sam_or_bam))
+        else:
+            tagged.write.parquet(o.out_folder)
     else:
         sites.quota_labels(text.read_calls(spark, o.pred_result)).select("read_id", "chrom", F.col("ref_pos").alias("pos"), F.col("read_label").alias("label")).write.parquet(o.out)
 

@@ -118,6 +118,14 @@ def read_sam(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def sam_contigs(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, int]]:
+    """(name, length) of the contigs in the headers of SAM text, in their order, the first of equal names; empty without a header."""
+    rows = _lines(spark, paths).where(F.col("value").startswith("@SQ\t"))
+    field = lambda k: F.regexp_extract("value", rf"\t{k}:([^\t]*)", 1)
+    found = rows.select(field("SN").alias("name"), field("LN").cast("int").alias("size"), "line_no").groupBy("name").agg(F.min_by("size", "line_no").alias("size"), F.min("line_no").alias("at"))
+    return [(r["name"], r["size"]) for r in found.orderBy("at").collect()]  # a row for each contig
+
+
 def read_fibres(spark: SparkSession, path: str, *, nrows: int = 10_000) -> DataFrame:
     """The first rows of a fibre table with a header; a leading '#' of a name is dropped."""
     raw = spark.read.csv(path, sep="\t", header=True)

@@ -2,6 +2,7 @@ import gzip
 import glob
 
 from strandloom import cli
+from strandloom.sources import bam
 
 
 def test_commands(spark, tmp_path):
@@ -26,3 +27,8 @@ def test_commands(spark, tmp_path):
     cli.main(["bed_to_tags", "--bed_file_dir", str(tmp_path / "t.bed"), "--sam_or_bam", str(tmp_path / "a.sam"), "--out_folder", str(tmp_path / "o")])
     r = spark.read.parquet(str(tmp_path / "o")).first()
     assert (r.mm, r.ml) == ("C+m,0,0;", [255, 0])
+    (tmp_path / "h.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:z\tLN:9\n@SQ\tSN:c\tLN:60\nr\t0\tc\t1\t60\t6M\t*\t0\t0\tCGACAT\t*\n")
+    cli.main(["bed_to_tags", "--bed_file_dir", str(tmp_path / "t.bed"), "--sam_or_bam", str(tmp_path / "h.sam"), "--out_folder", str(tmp_path / "bam"), "--out_format", "bam"])
+    assert bam.contigs_of(str(tmp_path / "bam")) == [("z", 9), ("c", 60)]
+    r = bam.typed(bam.read_bam(spark, str(tmp_path / "bam"))).first()
+    assert (r.reference_name, r.mm, r.ml) == ("c", "C+m,0,0;", [255, 0])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import frequency
 from strandloom.operators.scoring import binned, score
+from strandloom.schemas import READS
 from strandloom.sources import bam, signals, text
 
 
@@ -114,3 +115,36 @@ def test_signal_paths_names_and_nested_ids(spark, tmp_path):
     assert (got["read-2"].signal, got["read-2"].cal_offset, got["read-2"].cal_scale) == ([1.0, 2.0, 3.0], 3.0, 1467.6 / 8192)
     ids = spark.createDataFrame([('[["read-1", "read-2"], 4000, [["x\\"y"]]]',)], "ids string")
     assert ids.select(signals.flat_read_ids("ids")).first()[0] == ["read-1", "read-2", 'x"y']
+
+
+def test_bam_written_read_in_splits_and_merged(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        n = rng.choice([1, 50, 400])
+        aligned = i % 5 != 0
+        rows.append((f"r{i}", None if i % 3 else f"p{i}", 0 if aligned else 4, f"chr{rng.choice('AB')}" if aligned else None, rng.randrange(10_000) if aligned else -1, 60, [{"op": 0, "len": n}] if aligned else [], None, -1, 0, "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("!5I", k=n)), False, 7, None, [5, 1, 0], 0.5, None, "C+m,0;", [200], None, None, {"XY": "q", "NM": "3"}))
+    df = spark.createDataFrame(rows, READS)
+    bam.write_bam(df.repartition(3), str(tmp_path / "out"), [("chrB", 10_000), ("chrA", 10_000)])
+    assert not (tmp_path / "out/_temporary").exists()
+    read = bam.read_bam(spark, str(tmp_path / "out"), split=20_000)
+    assert read.rdd.getNumPartitions() > 6
+    got = bam.typed(read).orderBy("line_no").collect()
+    assert sorted(r.query_name for r in got) == sorted(r[0] for r in rows)
+    rank = {"chrB": 0, "chrA": 1, None: 2}
+    assert [(rank[r.reference_name], r.reference_start) for r in got] == sorted((rank[r.reference_name], r.reference_start) for r in got)
+    by = {r[0]: r for r in rows}
+    for r in got:
+        w = by[r.query_name]
+        assert (r.parent_id, r.flag, r.seq, r.qual, r.mv, r.sm, r.mm, r.ml, r.tags_extra, [c.asDict() for c in r.cigar]) == (w[1], w[2], w[10], w[11], w[15], w[16], w[18], w[19], w[22], w[6])
+    bam.merge_parts(str(tmp_path / "out"), str(tmp_path / "whole.bam"))
+    for split in (5_000, 1 << 30):
+        whole = bam.read_bam(spark, str(tmp_path / "whole.bam"), split=split).orderBy("path", "record").select("query_name").collect()
+        assert [r.query_name for r in whole] == [r.query_name for r in got]
+    with pytest.raises(Exception, match="chrA"):
+        bam.write_bam(df, str(tmp_path / "bad"), [("chrB", 10_000)])
+    assert not any((tmp_path / "bad").glob("*.bam"))
+    bam.write_bam(df.where("flag = 4").coalesce(1), str(tmp_path / "plain"), [])
+    assert bam.read_bam(spark, str(tmp_path / "plain")).count() == 600
