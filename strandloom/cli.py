@@ -41,9 +41,43 @@ def _parser() -> argparse.ArgumentParser:
     q = sub.add_parser("annotate", help="read labels by quota from labelled calls, as Parquet")
     q.add_argument("--pred_result", required=True)
     q.add_argument("--out", required=True)
+    i = sub.add_parser("infer", help="signals and records to calls, by a scorer of windows")
+    i.add_argument("--signals", required=True, help="SLOW5 file or folder, or a Parquet table of the signals schema")
+    i.add_argument("--bam", required=True, help="BAM file or folder, or SAM text")
+    i.add_argument("--out", required=True)
+    i.add_argument("--gzip", action="store_true")
+    i.add_argument("--config", default="default", help="a preset's name or a JSON file")
+    i.add_argument("--scorer", default="strandloom.operators.scoring:stand_in_sites", help="module:function")
+    i.add_argument("--chr", default="|")
+    i.add_argument("--limit", type=int, help="batches")
+    for name in ("cpg", "chg", "chh", "m6A", "batch_size", "chunk_size", "overlap", "stride"):
+        i.add_argument(f"--{name}", type=int)
+    i.add_argument("--mapq", dest="mapq_thres", type=int)
+    i.add_argument("--frequency")
+    i.add_argument("--dorado_version", type=float)
     return p
 
 
+def _infer(spark, o: argparse.Namespace) -> None:
+    """Options that aren't told come from the configuration."""
+    from importlib import import_module
+
+    from . import config
+    from .operators import extraction, ordering, scoring
+    from .sources import bam, signals, text
+
+    c = config.merged(vars(o), config.options(o.config))
+    raw = spark.read.parquet(o.signals) if o.signals.rstrip("/").endswith(".parquet") else signals.read_signals(spark, o.signals)
+    reads = text.read_sam(spark, o.bam) if o.bam.endswith(".sam") else bam.typed(bam.read_bam(spark, o.bam))
+    made = extraction.features(raw, reads, least=c.mapq_thres, chrom=o.chr, cpg=bool(c.cpg), chg=bool(c.chg), chh=bool(c.chh), m6a=bool(c.m6A), frequency=c.frequency, dorado_version=c.dorado_version)
+    cut = extraction.windows(made, chunk=c.chunk_size, overlap=c.overlap, stride=c.stride)
+    if o.limit is not None:
+        cut = ordering.first_batches(cut, o.limit, batch_size=c.batch_size, order=("read_id", "patch_idx"))
+    module, name = o.scorer.split(":")
+    scored = scoring.score_sites(cut, getattr(import_module(module), name), batch_size=c.batch_size, stride=c.stride)
+    text.write_lines(text.call_lines(extraction.called(scored)), o.out, gzip=o.gzip)
+
+
 def main(argv: list[str] | None = None) -> None:
     from .operators import evaluation, filters, frequency, modbam, sites
     from .session import session
@@ -51,7 +85,9 @@ def main(argv: list[str] | None = None) -> None:
 
     o = _parser().parse_args(argv)
     spark = session()
-    if o.command == "frequency":
+    if o.command == "infer":
+        _infer(spark, o)
+    elif o.command == "frequency":
         calls = text.read_mod_records(spark, o.input_path, file_uid=o.file_uid)
         if o.contigs:
             calls = calls.join(text.contig_names(spark, o.contigs), F.col("chrom") == F.col("contig"), "left_semi")
