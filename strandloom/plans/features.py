@@ -248,16 +248,19 @@ def m6a_confident(spark, sf_dir):
     return rows.where(~told)
 
 
-@query(f"""with {CALLS}, s as (select chrom, ref_pos, count(*) as n, min(line_no) as seen from calls group by 1,2), o as (select *, row_number() over (order by chrom, ref_pos) as place, row_number() over (order by seen) as turn from s)
- select chrom, ref_pos as pos, place, turn from o where place<=100 or turn<=100""")
+@query(f"""with {CALLS}, s as (select chrom, ref_pos, min(line_no) as seen from calls group by 1,2), o as (select *, row_number() over (order by chrom, ref_pos) as place, row_number() over (order by seen) as turn from s)
+ select 'place' as told, place as rank, chrom, ref_pos as pos from o where place<=100 union all select 'first_seen', turn, chrom, ref_pos from o where turn<=100""")
 def sites_in_order(spark, sf_dir):
-    """Of both orders the first hundred sites, told by their places in both."""
+    """The first hundred sites of both orders; only these are numbered in one task."""
     from pyspark.sql import Window as W
 
     found = frequency.site_frequency(calls(spark, sf_dir)).select("chrom", "pos", "first_seen")
-    heads = [frequency.in_order(found, by=by).limit(100).select("chrom", "pos") for by in ("place", "first_seen")]
-    places = [found.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long")).select("chrom", "pos", name) for name, order in (("place", ("chrom", "pos")), ("turn", ("first_seen",)))]
-    return heads[0].union(heads[1]).distinct().join(places[0], ["chrom", "pos"]).join(places[1], ["chrom", "pos"])
+
+    def head(by, *order):
+        rank = F.row_number().over(W.orderBy(*order)).cast("long").alias("rank")
+        return frequency.in_order(found, by=by).limit(100).select(F.lit(by).alias("told"), rank, "chrom", "pos")
+
+    return head("place", "chrom", "pos").union(head("first_seen", "first_seen"))
 
 
 @query(f"with {TRUTH} select chrom, start, percentage from (select *, row_number() over (order by chrom, start) as rn from truth) where rn<=100")
