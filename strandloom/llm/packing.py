@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, tune_batches
+from .common import batch, lean, materialize, tune_batches
 from .tokens import END, encoder
 
 log = logging.getLogger(__name__)
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, keep_ids: b
                 yield batch(schema, *map(list, zip(*out)))
 
     types = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, types)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), types)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, grain: int = GRAIN, keep_ids: bool = False) -> DataFrame:

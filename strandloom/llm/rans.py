@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, shared_dir, tune_batches
+from .common import batch, lean, materialize, shared_dir, tune_batches
 from .tokens import END, encoder
 
 MAGIC = b"SLRANS01"
@@ -168,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> None:
         if len(there):
             yield batch(schema, [None], [None], [None], [None], [np.stack((there, total[there])).astype("<i8").tobytes()])
 
-    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, h long, wide boolean, ids binary, counts binary"), "ids")
+    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(ids_of), "doc_id long, h long, wide boolean, ids binary, counts binary"), "ids")
 
     def unpack(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(b.column("ids").to_pylist(), b.column("wide").to_pylist())]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton, log_likelihoods
-from .common import batch, materialize, rows_of, tune_batches
+from .common import batch, lean, materialize, rows_of, tune_batches
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -80,7 +80,7 @@ def fit(docs: DataFrame) -> tuple[list[Automaton], Automaton]:
             if found:
                 yield batch(schema, *map(list, zip(*found)))
 
-    rows = materialize(docs.select("text").mapInArrow(run, "kind int, value string").distinct(), "labelled")
+    rows = materialize(docs.select("text").mapInArrow(lean(run), "kind int, value string").distinct(), "labelled")
     # one bounded sample a kind, each taken where the rows are
     kept = [r for k, n in ((-1, FIT_TOKENS), (0, FIT), (1, FIT), (2, FIT)) for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(n).collect()]
     by: dict[int, list[str]] = {}
@@ -126,7 +126,7 @@ def secrets(docs: DataFrame, *, least: float = LEAST, least_each: float = LEAST_
             spans = [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in find(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, _SPAN)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<start:bigint,kind:int,end:bigint>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, spans array<struct<start:bigint,kind:int,end:bigint>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -163,4 +163,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", *, least: float = LEAST, l
                     sizes[i] = len(texts[i])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("lang"), b.column("source"), pa.array(sizes, pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
 
-    return own.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return own.mapInArrow(lean(run), "doc_id long, text string, lang string, source string, n_chars long")

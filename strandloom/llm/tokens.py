@@ -13,6 +13,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import trim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a worker holds, at most; then it lets go of the older half.
@@ -87,17 +89,23 @@ class Encoder:
     """
 
     def __init__(self, path: str, narrow: bool = False) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         self.held: dict[str, bytes] = {}
-        self.size = 2 if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._code = "H" if self.size == 2 else "I"
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        most = max([*model["vocab"].values(), *(t["id"] for t in whole.get("added_tokens") or [])])
+        self.size = 2 if narrow and most < 1 << 16 else 4
+        self._code = "H" if self.size == 2 else "I"
         self.ended = bool(model.get("end_of_word_suffix"))
         ranks = _ranks(model)
         self.merge = None if ranks is None else tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        del whole, model, ranks
+        trim()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        if self.tokenizer is None:  # it is large, and few texts need it
+            self.tokenizer = Tokenizer.from_file(self.path)
         return [np.array(e.ids, f"<u{self.size}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units(self, text: str) -> list[str]:

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, id_remainder, materialize, tune_batches
+from .common import batch, id_remainder, lean, materialize, tune_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that score words not kept themselves; results of look-ups a worker holds.
-STEMS, HELD = (8, 7, 6, 5, 4, 3), 100_000
+STEMS, HELD = (8, 7, 6, 5, 4, 3), 50_000
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_DOCS = 30_000
 #: Toxic documents that must hold a term, its least z, the prior weight, and the cost of any token.
@@ -181,7 +181,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> DataFrame:
             yield batch(_TEXTS, b.column("doc_id"), b.column("toxic"), out, b.column("text"))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-    rows = materialize(own.mapInArrow(sketched, "doc_id long, toxic long, sketch long, text string"), "labelled")
+    rows = materialize(own.mapInArrow(lean(sketched), "doc_id long, toxic long, sketch long, text string"), "labelled")
     first = rows.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.join(F.broadcast(first), ["sketch", "toxic", "doc_id"], "left_semi")  # as many rows as fit_docs, at most
     return rows.select("toxic", F.xxhash64("sketch").bitwiseAND(1).alias("half"), "text")
@@ -209,11 +209,11 @@ def _document_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFram
                 for k in STEMS:
                     found |= {f"^{w[:k]}" for w in words if len(w) >= k}
                 held[half].update(found if wanted is None else found & wanted)
-            if len(held[0]) + len(held[1]) > 400_000:
+            if len(held[0]) + len(held[1]) > 100_000:
                 yield out()
         yield out()
 
-    return rows.select("text", "half").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.select("text", "half").mapInArrow(lean(run), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float, least_docs: int, least_z: float, cost: float) -> Scores:
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, least_d
             if out:
                 yield batch(_SEEN, *map(list, zip(*out)))
 
-    seen = rows.where("toxic = 0").mapInArrow(measure, "toxic long, n long, gains array<double>, segments array<double>").collect()
+    seen = rows.where("toxic = 0").mapInArrow(lean(measure), "toxic long, n long, gains array<double>, segments array<double>").collect()
     total = sum(r.n for r in seen)
     # one token of the highest score stands for what clean text has not shown yet
     met = Counter(round(g, 2) for r in seen for g in r.gains)
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> DataF
 
     kinds = dict(docs.dtypes)
     kept = "".join(f"{k} {kinds[k]}, " for k in keep)
-    return docs.select(F.col("doc_id").cast("long"), "text", *(k for k in keep if k != "text")).mapInArrow(run, f"doc_id long, {kept}score double, passages array<struct<start:bigint,end:bigint,score:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text", *(k for k in keep if k != "text")).mapInArrow(lean(run), f"doc_id long, {kept}score double, passages array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, keep: tuple[str, ...] = (), **options) -> DataFrame:
