@@ -30,7 +30,17 @@ def test_held_words_are_let_go(monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 10)
     e = tokens.Encoder(public_tokenizers.path(FILES[0]))
     texts = [f"w{i} x{i} y" for i in range(40)]
-    assert list(e.encode(texts)) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts)]
+    library = Tokenizer.from_file(public_tokenizers.path(FILES[0]))
+    assert list(e.encode(texts)) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts)]
+    assert e.tokenizer is None  # none of them needs it
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_narrow_ids(rows, name):
+    texts = [r[1] for r in rows]
+    wide, narrow = tokens.Encoder(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name), narrow=True)
+    assert (wide.size, narrow.size) == (4, 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in wide.encode(texts)] == [np.frombuffer(x, "<u2").tolist() for x in narrow.encode(texts)]
 
 
 def test_packing_is_whole_and_dense(docs, rows):
