@@ -113,7 +113,7 @@ def _edge_takes(edge: DataFrame) -> DataFrame:
     return counted.groupBy("sid").applyInArrow(choose, "sid int, key long, size long, takes long")
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """Documents with their places in the mix.
 
     docs needs doc_id, text and source; of its other columns those in keep stay. Returns one row per document:
@@ -122,8 +122,13 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1
     target as the documents of one of its blocks can fill what is left. Sources are ranked by code point,
     null last, and get the weights in turn. The driver holds one row per source. Null texts have size 0;
     equal rows are in one block, and as many of them are taken as the mix asks for. No document is taken
-    more than `most` times, rounded up.
+    more than `most` times, rounded up. options: weights, share, most, seed and keep, as for _mixed().
     """
+    return _mixed(docs, **options)[0]
+
+
+def _mixed(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """mix(), and the number of shards."""
     order_of = F.struct(F.col("source").isNull().alias("no"), "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), _mix("doc_id", "text", seed=seed).alias("key"), *keep)
@@ -190,15 +195,14 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1
 
     none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
     taken = F.transform(F.filter(F.coalesce("held", none), lambda x: (x["pass"] < F.col("passes")) | F.col("extra")), draw)
-    return rows.select("doc_id", "source", "size", "source_size", "target", *keep, taken.alias("draws"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", *keep, taken.alias("draws")), shards
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, source, n_chars) as often as the mix takes them, with shard and place."""
-    one = mix(docs, keep=("text", "lang", "n_chars"), **options)
-    return one.select("doc_id", "text", "lang", "source", "n_chars", F.explode("draws").alias("d")).select("doc_id", "text", "lang", "source", "n_chars", "d.shard", "d.place")
+    """The rows of docs (doc_id, text, lang, source, n_chars) as often as the mix takes them, with shard and place.
 
-
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """Documents dealt to their shards, in a seeded random order within each."""
-    return mixed.repartition("shard").sortWithinPartitions("shard", "place", "doc_id")
+    Documents are dealt to their shards, as many tasks as there are shards, and stand in a seeded random order within each.
+    """
+    rows, shards = _mixed(docs, keep=("text", "lang", "n_chars"), **options)
+    one = rows.select("doc_id", "text", "lang", "source", "n_chars", F.explode("draws").alias("d")).select("doc_id", "text", "lang", "source", "n_chars", "d.shard", "d.place")
+    return one.repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id")
