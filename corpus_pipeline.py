@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of smallest id of each group of near copies.
 
     Documents link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which
-    is measured exactly; candidates come from MinHash bands, which miss 7 of a million pairs at 0.8 (why not
-    from fingerprints: README). Texts without words are one group; rows that repeat an id, or have none, are
+    is measured exactly; candidates come from SimHash fingerprints under covering masks, operator 1's method
+    (tables and recall: README). Texts without words are one group; rows that repeat an id, or have none, are
     rows of their own in this.
     """
     rows = docs.select(*COLUMNS)

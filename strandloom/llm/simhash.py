@@ -56,6 +56,37 @@ def fingerprint(text: bytes | None, width: int, seed: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` fingerprints of 64-bit hashes: the first of the hashes themselves, each other of the hashes mixed anew (splitmix64)."""
+    counts = np.zeros(64 * words, np.int64)
+    offsets = np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12), None]
+        z = part + offsets
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed = np.ascontiguousarray(np.concatenate((part, z ^ z >> np.uint64(31)), axis=1))
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        for b in range(0, len(bits), 255):
+            counts += bits[b : b + 255].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def tables(words: int, *, width: int, radius: int) -> list[tuple[int, int]]:
+    """(word, mask) of each table of a wide fingerprint: the covering masks over every part of `width` bits.
+
+    Two wide fingerprints of which any part differs in `radius` or fewer bits agree under some mask.
+    """
+    parts = [((1 << width) - 1) << at for at in range(0, 64 - width + 1, width)]
+    return [(w, m & part) for w in range(words) for part in parts for m in masks(radius)]
+
+
+def keyed(classes: DataFrame, dealt: list[tuple[int, int]], *columns) -> DataFrame:
+    """Wide fingerprints fps -> a row (key, *columns) for each table; a class without fingerprints gets none."""
+    keys = [F.xxhash64(F.lit(i), F.get("fps", F.lit(w)).bitwiseAND(F.lit(_signed(m)))) for i, (w, m) in enumerate(dealt)]
+    return classes.where(F.size("fps") > 0).select(F.explode(F.array(*keys)).alias("key"), *columns)
+
+
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp). Repeated shingles count as often as they occur; a null text counts as empty."""
     tune_batches(docs.sparkSession)

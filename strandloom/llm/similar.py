@@ -1,15 +1,17 @@
 """Groups of documents by exact Jaccard similarity of their word shingles.
 
-MinHash bands give candidates: two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS,
-which leaves out 7 of a million pairs at 0.8. A pair links only if its whole shingle sets have the wanted
-similarity. A bucket's members are first held against its smallest one; what these links don't
-connect is held against all others of the bucket, a large bucket's part by part, so that no table of all
-pairs of a large group is written and no task holds a whole one with its shingle sets.
+Candidates come from SimHash and its covering masks (simhash.py): WORDS fingerprints of a shingle set
+are cut into parts of WIDTH bits, and two sets of which any part differs in RADIUS or fewer bits meet
+in a table. At a similarity of 0.8 a bit differs with a probability of 0.15, which leaves out 2 of a
+million pairs. A pair links only if its whole shingle sets have the wanted similarity. A bucket's members
+are first held against the smallest one near them; what these links don't connect is held against all
+others of the bucket, a large bucket's part by part, so that no table of all pairs of a large group is
+written and no task holds a whole one with its shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import batch, lean, materialize, rows_of, tune_batches
 from .components import components
 
-BANDS, ROWS = 30, 5
+WORDS, WIDTH, RADIUS = 7, 16, 1
+#: Fingerprints whose tables give the first links, which only spare work, and the least rows of a bucket that others are held against for them.
+FIRST, HEADS = 2, 1024
 #: Open rows of a bucket that are held with their shingle sets, about: groups hold two parts at most.
 PART = 1024
-#: Of the 128 bits of two sketches, each the parity of a minimum, (1 - s) / 2 differ on average: 12.8 at a similarity of 0.8, and more than 36 less than once in ten million pairs.
-FAR = 36
-_RANDOM = np.random.default_rng(20)
-_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a sketch, and its bits that may differ: of 192 29 differ on average at a similarity of 0.8, and more than 58 less than once in ten million pairs of long texts.
+SKETCH, FAR = 3, 58
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -48,68 +49,78 @@ def _node(of: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(of.tobytes(), 42))
 
 
-def signature(of: np.ndarray) -> tuple[int, int, list[int]]:
-    """Two words of sketch and the bands' keys; an empty set has no keys."""
-    if not len(of):
-        return 0, 0, []
-    least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
-    for at in range(0, len(of), 1 << 12):
-        np.minimum(least, (of[None, at : at + (1 << 12)] * _TIMES[:, None] + _PLUS[:, None]).min(1), out=least)
-    bits = np.packbits((least[:128] * _MIX >> np.uint64(63)).astype(np.uint8)).view("<i8")
-    keys = [_signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
-    return int(bits[0]), int(bits[1]), keys
-
-
-_MADE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_S = tuple(f"s{i}" for i in range(SKETCH))
+_MADE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-_OPEN = pa.schema([(c, pa.int64()) for c in ("key", "node", "s1", "s2", "root")])
+_OPEN = pa.schema([(c, pa.int64()) for c in ("key", "root", "node", *_S)])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def signature(of: np.ndarray) -> list[int]:
+    """The fingerprints of a shingle set; an empty set has none."""
+    return simhash.wide_fingerprint(of, WORDS).view("<i8").tolist() if len(of) else []
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     tune_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, s1, s2, keys): equal shingle sets have equal nodes."""
+    """(doc_id, node, fps): equal shingle sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
             sets = [shingles(t, width) for t in texts]
-            s1, s2, keys = zip(*map(signature, sets)) if sets else ((), (), ())
-            yield batch(_MADE, ids, [_node(s) for s in sets], s1, s2, keys)
+            yield batch(_MADE, ids, [_node(s) for s in sets], [signature(s) for s in sets])
+
+    return _documents(docs).mapInArrow(lean(run), "doc_id long, node long, fps array<long>")
+
+
+def _sketch() -> list:
+    return [F.col("fps")[i].alias(c) for i, c in enumerate(_S)]
+
 
-    return _documents(docs).mapInArrow(lean(run), "doc_id long, node long, s1 long, s2 long, keys array<long>")
+def _apart(s: Sequence[np.ndarray], t: Sequence[np.ndarray]) -> np.ndarray:
+    return sum(np.bitwise_count((x ^ y).view(np.uint64)) for x, y in zip(s, t))
+
+
+def _together(schema: pa.Schema, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Columns of many small results -> batches of some size."""
+    held, n = [], 0
+    for columns in found:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= 1 << 14:
+            yield batch(schema, *map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield batch(schema, *map(np.concatenate, zip(*held)))
 
 
 def _to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node -> pairs of a bucket's smallest node with each one near it."""
-    last = None  # key and row of the bucket that may go on
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, node, s1, s2 = (b.column(c).to_numpy() for c in ("key", "node", "s1", "s2"))
-        if last is not None:
-            key, node, s1, s2 = (np.concatenate(([x], y)) for x, y in zip(last, (key, node, s1, s2)))
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        ok = (node != node[head]) & (_apart(s1, s2, s1[head], s2[head]) <= FAR)
-        yield batch(_PAIRS, node[ok], node[head[ok]])
-        last = tuple(x[head[-1]] for x in (key, node, s1, s2))
+    """Rows sorted by key and node -> pairs of each node with the smallest one near it, among the HEADS smallest of its bucket."""
 
+    def found() -> Iterator[tuple]:
+        for _, node, *s in _mixed(batches, "node", *_S):
+            heads = [x[None, :HEADS] for x in s]
+            for at in range(1, len(node), 1 << 10):
+                near = _apart([x[at : at + (1 << 10), None] for x in s], heads) <= FAR
+                i, least = np.arange(at, at + len(near)), near.argmax(1)
+                ok = near.any(1) & (least < i)
+                if ok.any():
+                    yield node[i[ok]], node[least[ok]]
 
-def _apart(s1, s2, t1, t2) -> np.ndarray:
-    return np.bitwise_count((s1 ^ t1).view(np.uint64)) + np.bitwise_count((s2 ^ t2).view(np.uint64))
+    yield from _together(_PAIRS, found())
 
 
-def _mixed(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """Rows sorted by key and root -> key, root and columns of each bucket that has more than one root."""
+def _mixed(batches: Iterator[pa.RecordBatch], by: str, *columns: str) -> Iterator[tuple]:
+    """Rows sorted by key and `by` -> key, `by` and columns of each bucket that has more than one value of `by`."""
 
     def cut(rows) -> Iterator[tuple]:
-        key, root = rows[:2]
+        key, of = rows[:2]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        yield from (tuple(x[s:e] for x in rows) for s, e in zip(cuts[:-1], cuts[1:]) if root[s] != root[e - 1])
+        yield from (tuple(x[s:e] for x in rows) for s, e in zip(cuts[:-1], cuts[1:]) if of[s] != of[e - 1])
 
     def read(b: pa.RecordBatch, name: str) -> np.ndarray:
         column = b.column(name)
@@ -123,7 +134,7 @@ def _mixed(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for b in batches:
         if not b.num_rows:
             continue
-        rows = tuple(read(b, c) for c in ("key", "root", *columns))
+        rows = tuple(read(b, c) for c in ("key", by, *columns))
         last = int(np.searchsorted(rows[0], rows[0][-1]))  # keys are sorted; the last bucket may go on
         if last or (held and held[0][0][-1] != rows[0][0]):
             yield from cut(tuple(map(np.concatenate, zip(*held, tuple(x[:last] for x in rows)))))
@@ -143,43 +154,52 @@ def _largest_last(root: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and root -> those near a row of another root in their bucket."""
-    for key, root, node, s1, s2 in _mixed(batches, "node", "s1", "s2"):
-        order, few = _largest_last(root)
-        node, s1, s2, root = node[order], s1[order], s2[order], root[order]
-        wanted = np.zeros(len(node), bool)
-        for at in range(0, few, 256):
-            i = np.arange(at, min(at + 256, few))[:, None]
-            for to in range(at, len(node), 1 << 14):
-                j = np.arange(to, min(to + (1 << 14), len(node)))[None]
-                near = (root[i] != root[j]) & (_apart(s1[i], s2[i], s1[j], s2[j]) <= FAR)
-                wanted[i[:, 0]] |= near.any(1)
-                wanted[j[0]] |= near.any(0)
-        yield batch(_OPEN, key[: wanted.sum()], node[wanted], s1[wanted], s2[wanted], root[wanted])
+
+    def found() -> Iterator[tuple]:
+        for key, *rows in _mixed(batches, "root", "node", *_S):
+            order, few = _largest_last(rows[0])
+            root, node, *s = (x[order] for x in rows)
+            wanted = np.zeros(len(node), bool)
+            for at in range(0, few, 128):
+                i = slice(at, min(at + 128, few))
+                for to in range(at, len(node), 1 << 13):
+                    j = slice(to, to + (1 << 13))
+                    near = (_apart([x[i, None] for x in s], [x[None, j] for x in s]) <= FAR) & (root[i, None] != root[None, j])
+                    wanted[i] |= near.any(1)
+                    wanted[j] |= near.any(0)
+            if wanted.any():
+                yield key[: wanted.sum()], *(x[wanted] for x in (root, node, *s))
+
+    yield from _together(_OPEN, found())
 
 
 def _joined(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with shingles sorted by key and root -> pairs of similar sets that join all roots of a bucket that any such pair joins."""
-        for _, root, node, s1, s2, sets in _mixed(batches, "node", "s1", "s2", "shingles"):
-            order, few = _largest_last(root)
-            node, s1, s2, root, sets = node[order], s1[order], s2[order], root[order].copy(), sets[order]
-            size, out = np.array(list(map(len, sets))), []
-            for i in range(few):
-                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_apart(s1[i], s2[i], s1[i + 1 :], s2[i + 1 :]) <= FAR))
-                for at in range(0, len(j), 1024):
-                    k = j[at : at + 1024]
-                    k = k[root[k] != root[i]]
-                    if not len(k):
-                        continue
-                    flat = np.concatenate(sets[k])
-                    found = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
-                    both = np.add.reduceat(found, np.cumsum(size[k]) - size[k], dtype=np.int64)
-                    for x in k[both >= least * (size[i] + size[k] - both)]:
-                        if root[x] != root[i]:
-                            out.append((max(node[i], node[x]), min(node[i], node[x])))
-                            root[root == root[x]] = root[i]
-            if out:
-                yield batch(_PAIRS, *np.array(out, np.int64).T)
+
+        def found() -> Iterator[tuple]:
+            for _, *rows in _mixed(batches, "root", "node", "shingles", *_S):
+                order, few = _largest_last(rows[0])
+                root, node, sets, *s = (x[order] for x in rows)
+                size, out = np.array(list(map(len, sets))), []
+                for i in range(few):
+                    j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_apart([x[i] for x in s], [x[i + 1 :] for x in s]) <= FAR))
+                    for at in range(0, len(j), 1024):
+                        k = j[at : at + 1024]
+                        k = k[root[k] != root[i]]
+                        if not len(k):
+                            continue
+                        flat = np.concatenate(sets[k])
+                        same = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
+                        both = np.add.reduceat(same, np.cumsum(size[k]) - size[k], dtype=np.int64)
+                        for x in k[both >= least * (size[i] + size[k] - both)]:
+                            if root[x] != root[i]:
+                                out.append((max(node[i], node[x]), min(node[i], node[x])))
+                                root[root == root[x]] = root[i]
+                if out:
+                    yield tuple(np.array(out, np.int64).T)
+
+        yield from _together(_PAIRS, found())
 
     return run
 
@@ -218,7 +238,7 @@ def _dealt(rest: DataFrame) -> DataFrame:
     own = rest.join(sizes, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = own.withColumn("c", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d"))
-    return own.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("key"), "node", "s1", "s2", "root")
+    return own.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("key"), "root", "node", *_S)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -229,19 +249,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> D
     doc_id is never a component's id unless all are null.
     """
     made = materialize(signatures(docs, width), "signatures")
-    classes = made.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("s1", "s2", "keys")])
+    classes = made.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps"))
     classes = materialize(classes, "classes")
 
     tune_batches(docs.sparkSession, 1 << 14)
-    rows = classes.select(F.explode("keys").alias("key"), "node", "s1", "s2")
+    dealt = simhash.tables(WORDS, width=WIDTH, radius=RADIUS)
+    rows = simhash.keyed(classes, [(w, m) for w, m in dealt if w < FIRST], "node", *_sketch())
     near = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_to_smallest), "a long, b long")
     found = confirmed(near, classes, docs, width=width, least=least)
 
     roots = materialize(components(found), "roots")
     tune_batches(docs.sparkSession, 1 << 14)
-    rooted = classes.join(roots, "node", "left").select(F.explode("keys").alias("key"), "node", "s1", "s2", F.coalesce("root", "node").alias("root"))
+    rooted = simhash.keyed(classes.join(roots, "node", "left"), dealt, F.coalesce("root", "node").alias("root"), "node", *_sketch())
     by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "root")
-    rest = materialize(by_key(rooted).mapInArrow(lean(_open), "key long, node long, s1 long, s2 long, root long"), "open")
+    rest = materialize(by_key(rooted).mapInArrow(lean(_open), ", ".join(f"{f.name} long" for f in _OPEN)), "open")
     whole = _dealt(rest).join(_sets(rest, classes, docs, width), "node")
     tune_batches(docs.sparkSession, 1 << 14)
     found = found.union(materialize(by_key(whole).mapInArrow(lean(_joined(least)), "a long, b long"), "joined"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from strandloom.llm import similar
+from strandloom.llm import simhash, similar
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,27 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c), (3, None), (4, "x y"), (4, "z")], key=str)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_meet_in_covering_tables_only(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(words + ["last"]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect())
+    assert kept() == [1]
+    monkeypatch.setattr(simhash, "masks", lambda radius: [(1 << 64) - 1])  # whole parts, and of these only one that differs
+    x, y = (similar.signature(similar.shingles(r[1].encode(), 5)) for r in rows)
+    apart = [(w, m) for w, m in simhash.tables(similar.WORDS, width=similar.WIDTH, radius=0) if (x[w] ^ y[w]) & m]
+    monkeypatch.setattr(simhash, "tables", lambda *_, **__: apart[:1])
+    assert apart and kept() == [1, 2]
+
+
+def test_a_part_within_the_radius_is_found():
+    tables = simhash.tables(3, width=16, radius=1)
+    assert len(tables) == 3 * 4 * 3
+    for part in range(12):
+        for bit in range(16):  # all other parts differ everywhere
+            apart = [(1 << 64) - 1] * 3
+            apart[part // 4] &= ~(0xFFFF << part % 4 * 16) | 1 << part % 4 * 16 + bit
+            assert any(not apart[w] & m for w, m in tables)
