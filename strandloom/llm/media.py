@@ -99,20 +99,35 @@ def store(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, media array<binary>"), "media")
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """What the stored frames give: the payload's digests and, of the RGB pixels, count, means and deviations."""
+_TENSOR = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+
+
+def _image(rgb: np.ndarray, shape: tuple[int, int]) -> dict:
+    """The tensor of a frame's RGB tiles: row by row, three bytes a pixel."""
+    h, w = shape
+    return {"height": 16 * h, "width": 16 * w, "rgb": rgb.reshape(h, w, 16, 16, 3).transpose(0, 2, 1, 3, 4).tobytes()}
+
+
+def features(stored: DataFrame, *, tensors: bool = False) -> DataFrame:
+    """What the stored frames give: the payload's digests and, of the RGB pixels, count, means and deviations.
+
+    With tensors, every frame's full-resolution RGB tensor too (an array, in the order of the frames).
+    """
     tune_batches(stored.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = schema.append(pa.field("tensors", pa.list_(_TENSOR))) if tensors else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media, out = b.column("media").to_pylist(), []
+            media, out, held = b.column("media").to_pylist(), [], 0
             source = read([f for m in media for f in m])
             for doc_id, n, frames in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), media):
                 digest, size, tail = hashlib.sha256(), 0, b""
-                pixels, total, square = 0, np.zeros(3, np.int64), np.zeros(3, np.int64)
+                pixels, total, square, images = 0, np.zeros(3, np.int64), np.zeros(3, np.int64), []
                 for _ in frames:
-                    data, rgb, _ = next(source)
+                    data, rgb, shape = next(source)
+                    if tensors:
+                        images.append(_image(rgb, shape))
                     digest.update(data)
                     size, tail = size + len(data), (tail + data)[-64:]
                     flat = rgb.reshape(-1, 3)
@@ -125,11 +140,19 @@ def features(stored: DataFrame) -> DataFrame:
                 whole = hashlib.sha256()
                 for f in frames:
                     whole.update(f)
-                out.append((doc_id, n, size, digest.hexdigest(), zlib.crc32(tail), sum(map(len, frames)), whole.hexdigest(), told))
+                out.append((doc_id, n, size, digest.hexdigest(), zlib.crc32(tail), sum(map(len, frames)), whole.hexdigest(), told, images)[: len(schema)])
+                held += sum(len(x["rgb"]) for x in images)
+                if held >= READ:
+                    yield made(out)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield made(out)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds += ", tensors array<struct<height int, width int, rgb binary>>" if tensors else ""
     return stored.mapInArrow(run, kinds)
 
 
@@ -144,8 +167,7 @@ def tensors(stored: DataFrame) -> DataFrame:
             source = read([f for m in media for f in m])
             for doc_id, frames in zip(b.column("doc_id").to_pylist(), media):
                 for i, _ in enumerate(frames):
-                    _, rgb, (h, w) = next(source)
-                    image = rgb.reshape(h, w, 16, 16, 3).transpose(0, 2, 1, 3, 4).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc_id, i, 16 * h, 16 * w, image), schema)], schema=schema)
+                    _, rgb, shape = next(source)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc_id, i, *_image(rgb, shape).values()), schema)], schema=schema)
 
     return stored.mapInArrow(run, "doc_id long, frame int, height int, width int, rgb binary")

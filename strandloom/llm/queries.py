@@ -41,7 +41,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents")))
+    return media.features(media.store(table(spark, sf_dir, "documents")), tensors=True)
 
 
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

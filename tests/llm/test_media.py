@@ -52,3 +52,23 @@ def test_payloads_and_features(docs, rows, monkeypatch):
 
 def test_empty_table(none):
     assert media.features(media.store(none)).count() == 0
+
+
+def test_features_give_every_tensor(spark, docs):
+    long = spark.createDataFrame([(-7, "some words " * 40_000)], "doc_id long, text string")  # two frames
+    stored = media.store(docs.select("doc_id", "text").union(long))
+    key = lambda r: (str(r[0]), r[1], r[4])
+    got = [(r.doc_id, i, t.height, t.width, bytes(t.rgb)) for r in media.features(stored, tensors=True).collect() for i, t in enumerate(r.tensors)]
+    want = [(*r[:4], bytes(r.rgb)) for r in media.tensors(stored).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and any(i > 0 for _, i, *_ in got)
+    plain, full = ({tuple(r)[:8] for r in media.features(stored, tensors=x).collect()} for x in (False, True))
+    assert plain == full
+
+
+def test_query_gives_the_tensors(spark):
+    from strandloom.llm import queries
+
+    rows = queries.op7_media(spark, "/root/testdata/sf0.001").select("payload_bytes", "feature", "tensors").collect()
+    for r in rows:
+        pixels = sum(t.height * t.width for t in r.tensors)
+        assert pixels == int(r.feature.split(":")[0]) >= r.payload_bytes * 2 / 3 and all(len(t.rgb) == 3 * t.height * t.width for t in r.tensors)
