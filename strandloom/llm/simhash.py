@@ -81,9 +81,21 @@ def tables(words: int, *, width: int, radius: int) -> list[tuple[int, int]]:
     return [(w, m & part) for w in range(words) for part in parts for m in masks(radius)]
 
 
+#: Bits of a key of `keyed` below the number of its table.
+_KEY = 48
+
+
+def table_of(key: int) -> int:
+    return int(key) >> _KEY
+
+
 def keyed(classes: DataFrame, dealt: list[tuple[int, int]], *columns) -> DataFrame:
-    """Wide fingerprints fps -> a row (key, *columns) for each table; a class without fingerprints gets none."""
-    keys = [F.xxhash64(F.lit(i), F.get("fps", F.lit(w)).bitwiseAND(F.lit(_signed(m)))) for i, (w, m) in enumerate(dealt)]
+    """Wide fingerprints fps -> a row (key, *columns) for each table; a class without fingerprints gets none.
+
+    A key is the number of the table and a hash of the bits under its mask.
+    """
+    bits = [F.xxhash64(F.get("fps", F.lit(w)).bitwiseAND(F.lit(_signed(m)))) for w, m in dealt]
+    keys = [F.shiftrightunsigned(x, 64 - _KEY).bitwiseOR(F.lit(i << _KEY).cast("long")) for i, x in enumerate(bits)]
     return classes.where(F.size("fps") > 0).select(F.explode(F.array(*keys)).alias("key"), *columns)
 
 

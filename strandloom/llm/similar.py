@@ -3,8 +3,9 @@
 Candidates come from SimHash and its covering masks (simhash.py): WORDS fingerprints of a shingle set
 are cut into parts of WIDTH bits, and two sets of which any part differs in RADIUS or fewer bits meet
 in a table. At a similarity of 0.8 a bit differs with a probability of 0.15, which leaves out 2 of a
-million pairs. A pair links only if its whole shingle sets have the wanted similarity. A bucket's members
-are first held against the smallest one near them; what these links don't connect is held against all
+million pairs. A pair links only if its whole shingle sets have the wanted similarity, and whole sets
+are fetched only where a sketch (more bits of SimHash, set sizes, parities of shingle counts) leaves that
+open, in the first table where the two meet. A bucket's members are first held against the smallest one near them; what these links don't connect is held against all
 others of the bucket, a large bucket's part by part, so that no table of all pairs of a large group is
 written and no task holds a whole one with its shingle sets.
 """
@@ -30,6 +31,8 @@ FIRST, HEADS = 2, 1024
 PART = 1024
 #: Words of a sketch, and its bits that may differ: of 192 29 differ on average at a similarity of 0.8, and more than 58 less than once in ten million pairs of long texts.
 SKETCH, FAR = 3, 58
+#: Words of parities: bit i is set if an odd number of a set's shingles fall into place i of 64 * ODD.
+ODD = 4
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -50,15 +53,20 @@ def _node(of: np.ndarray) -> int:
 
 
 _S = tuple(f"s{i}" for i in range(SKETCH))
+_O = tuple(f"o{i}" for i in range(ODD))
+_SKETCH = (*_S, *_O, "size")
 _MADE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-_OPEN = pa.schema([(c, pa.int64()) for c in ("key", "root", "node", *_S)])
+_OPEN = pa.schema([(c, pa.int64()) for c in ("key", "root", "node", *_SKETCH)])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def signature(of: np.ndarray) -> list[int]:
-    """The fingerprints of a shingle set; an empty set has none."""
-    return simhash.wide_fingerprint(of, WORDS).view("<i8").tolist() if len(of) else []
+    """The fingerprints of a shingle set, its parities and its size; an empty set has none."""
+    if not len(of):
+        return []
+    odd = np.packbits(np.bincount((of % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1, bitorder="little")
+    return [*simhash.wide_fingerprint(of, WORDS).view("<i8").tolist(), *odd.view("<i8").tolist(), len(of)]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -78,13 +86,40 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sketch() -> list:
-    return [F.col("fps")[i].alias(c) for i, c in enumerate(_S)]
+    return [F.col("fps")[i].alias(c) for i, c in zip((*range(SKETCH), *range(WORDS, WORDS + ODD + 1)), _SKETCH, strict=True)]
 
 
 def _apart(s: Sequence[np.ndarray], t: Sequence[np.ndarray]) -> np.ndarray:
     return sum(np.bitwise_count((x ^ y).view(np.uint64)) for x, y in zip(s, t))
 
 
+def _near(rows: Sequence[np.ndarray], these, those, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of these and those rows of a sketch whose sets may have a similarity of `least`.
+
+    Sets of x and y shingles of which d are in one of the two only are as similar if d (1 + least) is at most
+    (x + y) (1 - least); d is no less than the difference of the sizes or the number of parities that differ,
+    so neither drops a pair that links.
+    """
+    a, b = ([x[at] for x in rows] for at in (these, those))
+    i, j = np.nonzero(_apart([x[:, None] for x in a[:SKETCH]], [x[None] for x in b[:SKETCH]]) <= FAR)
+    x, y = a[-1][i], b[-1][j]
+    most = ((x + y) * (1 - least) + 1e-6) / (1 + least)
+    ok = np.abs(x - y) <= most
+    i, j, most = i[ok], j[ok], most[ok]
+    odd = sum(np.bitwise_count((s[i] ^ t[j]).view(np.uint64)).astype(np.int64) for s, t in zip(a[SKETCH:-1], b[SKETCH:-1]))
+    ok = odd <= most
+    return i[ok], j[ok]
+
+
+def _met(s: Sequence[np.ndarray], t: Sequence[np.ndarray], dealt: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Which pairs of rows agree under the mask of any of the tables; those of words outside the sketch don't count."""
+    met = np.zeros(len(s[0]), bool)
+    for w, mask in dealt:
+        if w < SKETCH:
+            met |= (s[w] ^ t[w]) & _signed(mask) == 0
+    return met
+
+
 def _together(schema: pa.Schema, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Columns of many small results -> batches of some size."""
     held, n = [], 0
@@ -98,20 +133,23 @@ def _together(schema: pa.Schema, found: Iterator[tuple]) -> Iterator[pa.RecordBa
         yield batch(schema, *map(np.concatenate, zip(*held)))
 
 
-def _to_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node -> pairs of each node with the smallest one near it, among the HEADS smallest of its bucket."""
+def _to_smallest(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and node -> pairs of each node with the smallest one near it, among the HEADS smallest of its bucket."""
 
-    def found() -> Iterator[tuple]:
-        for _, node, *s in _mixed(batches, "node", *_S):
-            heads = [x[None, :HEADS] for x in s]
-            for at in range(1, len(node), 1 << 10):
-                near = _apart([x[at : at + (1 << 10), None] for x in s], heads) <= FAR
-                i, least = np.arange(at, at + len(near)), near.argmax(1)
-                ok = near.any(1) & (least < i)
-                if ok.any():
-                    yield node[i[ok]], node[least[ok]]
+        def found() -> Iterator[tuple]:
+            for _, node, *rows in _mixed(batches, "node", *_SKETCH):
+                for at in range(1, len(node), 1 << 10):
+                    i, j = _near(rows, slice(at, at + (1 << 10)), slice(HEADS), least)
+                    i, first = np.unique(i, return_index=True)  # places come in order: the first is that of the smallest
+                    i, j = i + at, j[first]
+                    ok = j < i
+                    if ok.any():
+                        yield node[i[ok]], node[j[ok]]
 
-    yield from _together(_PAIRS, found())
+        yield from _together(_PAIRS, found())
+
+    return run
 
 
 def _mixed(batches: Iterator[pa.RecordBatch], by: str, *columns: str) -> Iterator[tuple]:
@@ -152,25 +190,29 @@ def _largest_last(root: np.ndarray) -> tuple[np.ndarray, int]:
     return order, int(np.flatnonzero(root[order] != root[order[-1]])[-1]) + 1
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and root -> those near a row of another root in their bucket."""
+def _open(dealt: Sequence[tuple[int, int]], least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and root -> those near a row of another root in their bucket that they meet in no table before this one."""
 
-    def found() -> Iterator[tuple]:
-        for key, *rows in _mixed(batches, "root", "node", *_S):
-            order, few = _largest_last(rows[0])
-            root, node, *s = (x[order] for x in rows)
-            wanted = np.zeros(len(node), bool)
-            for at in range(0, few, 128):
-                i = slice(at, min(at + 128, few))
-                for to in range(at, len(node), 1 << 13):
-                    j = slice(to, to + (1 << 13))
-                    near = (_apart([x[i, None] for x in s], [x[None, j] for x in s]) <= FAR) & (root[i, None] != root[None, j])
-                    wanted[i] |= near.any(1)
-                    wanted[j] |= near.any(0)
-            if wanted.any():
-                yield key[: wanted.sum()], *(x[wanted] for x in (root, node, *s))
+        def found() -> Iterator[tuple]:
+            for key, *rows in _mixed(batches, "root", "node", *_SKETCH):
+                order, few = _largest_last(rows[0])
+                root, node, *rows = (x[order] for x in rows)
+                before, wanted = dealt[: simhash.table_of(key[0])], np.zeros(len(node), bool)
+                for at in range(0, few, 128):
+                    these = slice(at, min(at + 128, few))
+                    for to in range(at, len(node), 1 << 13):
+                        i, j = (x + y for x, y in zip((at, to), _near(rows, these, slice(to, to + (1 << 13)), least)))
+                        other = root[i] != root[j]
+                        i, j = i[other], j[other]
+                        new = ~_met([x[i] for x in rows[:SKETCH]], [x[j] for x in rows[:SKETCH]], before)
+                        wanted[i[new]] = wanted[j[new]] = True
+                if wanted.any():
+                    yield key[: wanted.sum()], *(x[wanted] for x in (root, node, *rows))
+
+        yield from _together(_OPEN, found())
 
-    yield from _together(_OPEN, found())
+    return run
 
 
 def _joined(least: float):
@@ -178,12 +220,13 @@ def _joined(least: float):
         """Rows with shingles sorted by key and root -> pairs of similar sets that join all roots of a bucket that any such pair joins."""
 
         def found() -> Iterator[tuple]:
-            for _, *rows in _mixed(batches, "root", "node", "shingles", *_S):
+            for _, *rows in _mixed(batches, "root", "node", "shingles", *_SKETCH):
                 order, few = _largest_last(rows[0])
-                root, node, sets, *s = (x[order] for x in rows)
-                size, out = np.array(list(map(len, sets))), []
+                root, node, sets, *rows = (x[order] for x in rows)
+                size, out = rows[-1], []
                 for i in range(few):
-                    j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_apart([x[i] for x in s], [x[i + 1 :] for x in s]) <= FAR))
+                    j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                    j = j[_near(rows, slice(i, i + 1), j, least)[1]]
                     for at in range(0, len(j), 1024):
                         k = j[at : at + 1024]
                         k = k[root[k] != root[i]]
@@ -238,7 +281,7 @@ def _dealt(rest: DataFrame) -> DataFrame:
     own = rest.join(sizes, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = own.withColumn("c", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d"))
-    return own.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("key"), "root", "node", *_S)
+    return own.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("key"), "root", "node", *_SKETCH)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -255,14 +298,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> D
     tune_batches(docs.sparkSession, 1 << 14)
     dealt = simhash.tables(WORDS, width=WIDTH, radius=RADIUS)
     rows = simhash.keyed(classes, [(w, m) for w, m in dealt if w < FIRST], "node", *_sketch())
-    near = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_to_smallest), "a long, b long")
+    near = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_to_smallest(least)), "a long, b long")
     found = confirmed(near, classes, docs, width=width, least=least)
 
     roots = materialize(components(found), "roots")
     tune_batches(docs.sparkSession, 1 << 14)
     rooted = simhash.keyed(classes.join(roots, "node", "left"), dealt, F.coalesce("root", "node").alias("root"), "node", *_sketch())
     by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "root")
-    rest = materialize(by_key(rooted).mapInArrow(lean(_open), ", ".join(f"{f.name} long" for f in _OPEN)), "open")
+    rest = materialize(by_key(rooted).mapInArrow(lean(_open(dealt, least)), ", ".join(f"{f.name} long" for f in _OPEN)), "open")
     whole = _dealt(rest).join(_sets(rest, classes, docs, width), "node")
     tune_batches(docs.sparkSession, 1 << 14)
     found = found.union(materialize(by_key(whole).mapInArrow(lean(_joined(least)), "a long, b long"), "joined"))

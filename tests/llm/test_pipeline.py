@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -112,3 +113,48 @@ def test_a_part_within_the_radius_is_found():
             apart = [(1 << 64) - 1] * 3
             apart[part // 4] &= ~(0xFFFF << part % 4 * 16) | 1 << part % 4 * 16 + bit
             assert any(not apart[w] & m for w, m in tables)
+
+
+def test_texts_that_only_share_a_passage_are_not_held_against_each_other(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(110)]
+    texts = [" ".join([*passage, *(word() for _ in range(rng.randint(40, 50)))]) for _ in range(200)]  # similarities of 0.52 to 0.59
+    texts += [t + " last" for t in texts[:20]]
+    opened, write = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, tag: (written := write(df, tag), tag == "open" and opened.append(written.count()))[0])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(200)) and opened[0] < 200
+
+
+def test_a_sketch_drops_no_pair_of_the_wanted_similarity(monkeypatch):
+    monkeypatch.setattr(similar, "FAR", 64 * similar.SKETCH)  # what remains is exact
+    rng = np.random.default_rng(4)
+    at = (*range(similar.SKETCH), *range(similar.WORDS, similar.WORDS + similar.ODD + 1))
+    dropped = 0
+    for n in (*range(1, 12), 60, 130, 300, 2000):
+        for _ in range(30):
+            of = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64))
+            new = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, n + 1)), np.int64).astype(np.uint64))
+            x, y = of, np.union1d(of[int(rng.integers(0, n + 1)) :], new)
+            for a, b in ((x, y), (of, of[: max(1, -(-n * 4 // 5))]), (of, of)):
+                if not len(b):
+                    continue
+                rows = [np.array(c, np.int64) for c in zip(*([similar.signature(s)[i] for i in at] for s in (a, b)))]
+                i, j = similar._near(rows, slice(0, 1), slice(1, 2), 0.8)
+                both = len(np.intersect1d(a, b))
+                assert len(i) == 1 or both < 0.8 * (len(a) + len(b) - both)
+                dropped += not len(i)
+    assert dropped > 100
+
+
+def test_rows_are_open_in_the_first_table_where_they_meet():
+    dealt = simhash.tables(similar.WORDS, width=16, radius=1)
+    values = {"root": [1, 2], "node": [1, 2], "s0": [0, 0xFFFF], "size": [100, 100]}  # the first part, of three tables, differs everywhere
+
+    def opened(table):
+        rows = similar.batch(similar._OPEN, *([table << 48] * 2 if c == "key" else values.get(c, [0, 0]) for c in similar._OPEN.names))
+        return sum(b.num_rows for b in similar._open(dealt, 0.8)(iter([rows])))
+
+    assert [opened(i) for i in range(len(dealt))] == [2] * 4 + [0] * (len(dealt) - 4)
